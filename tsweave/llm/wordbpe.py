@@ -3,25 +3,51 @@
 The vocabulary's pre-tokenizer never joins characters across a space, tab or line end, and its normalizer (composition,
 lower case, white space to one space) acts on each side alone. So the ids of a text are those of its words, cut at
 space, tab, line feed and carriage return, one after another. The library encodes each word that isn't kept yet;
-tests/llm/test_tokens.py holds this against the library's ids of whole texts.
+tests/llm/test_tokens.py holds this against the library's ids of whole texts. It holds for a vocabulary whose
+pre-tokenizer takes letters, single digits and runs of other characters apart, as word_bpe_49k.json does.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
+#: Letters below this are their own normal form, and Python and the library agree on their lower case (but for U+0130).
+PLAIN_BELOW = "\u0250"
 #: The characters that words are cut at. Other white space stays inside a word, for the library to deal with.
 CUT = str.maketrans("\n\t\r", "   ")
 
+TAILS = (".", ",")
+
+
+class _Words(dict):
+    """Ids by word. A word that is asked for and isn't there is noted in `new` and stands for its ids until they are known."""
+
+    new: list[str]
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.new = []
+
+    def __missing__(self, word: str) -> str:
+        self.new.append(word)
+        self[word] = word
+        return word
+
+
+def _plain(word: str) -> bool:
+    return word.isascii() or max(word) < PLAIN_BELOW and "\u0130" not in word
+
 
 class WordEncoder:
     """ids(text): the ids of a text as little-endian bytes, of `width` bytes each. At most `keep` words are kept."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -29,16 +55,22 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        # Words of plain letters need no normalizer but lower case, and are one pre-token each.
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words = _Words()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of several whole texts."""
         cut = [self._cut(t) for t in texts]
         if len(self.words) > self.keep:
-            self.words = {}
-        if missing := set().union(*cut) - self.words.keys():
-            self._learn(missing)
-        return [b"".join(map(self.words.__getitem__, w)) for w in cut]
+            least = sorted(map(len, self.words))[self.keep // 2]  # short words come again soonest
+            self.words = _Words((w, ids) for w, ids in self.words.items() if len(w) < least)
+        find = self.words.__getitem__
+        found = [list(map(find, w)) for w in cut]
+        del cut
+        self._learn()
+        return [b"".join([x if type(x) is bytes else find(x) for x in f]) for f in found]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -46,17 +78,22 @@ class WordEncoder:
             text = text.lower()  # as the normalizer does; outside ASCII the two may differ
         return text.translate(CUT).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
 
-    def _learn(self, missing: set[str]) -> None:
-        """Encode words. One of letters and a last full stop or comma is put together from the two."""
-        words = self.words
-        cores = {w for w in missing if w.isalpha()}
-        rest = missing - cores
-        tailed = [w for w in rest if w[-1:] in (".", ",") and w[:-1].isalpha()]
-        cores.update([w[:-1] for w in tailed])
-        alone = list(rest.difference(tailed) | {".", ","})
-        cores = list(cores - words.keys())
-        for at in range(0, len(cores), 100):
-            alone += self._together(cores[at : at + 100])
+    def _learn(self) -> None:
+        """Encode the new words. One of plain letters and a last full stop or comma is put together from the two."""
+        words, cores, tailed, alone = self.words, [], [], [".", ","]
+        for w in words.new:
+            if w.isalpha():
+                (cores if _plain(w) else alone).append(w)
+            elif w[-1:] in TAILS and (core := w[:-1]).isalpha() and _plain(core):
+                tailed.append(w)
+                if core not in words:
+                    words[core] = core
+                    cores.append(core)
+            else:
+                alone.append(w)
+        words.new = []
+        for at in range(0, len(cores), 20_000):
+            self._together(cores[at : at + 20_000])
         for at in range(0, len(alone), 10_000):
             some = alone[at : at + 10_000]
             words.update((w, self._bytes(e.ids)) for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
@@ -65,15 +102,14 @@ class WordEncoder:
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _together(self, cores: list[str]) -> list[str]:
-        """Encode words of letters in one call; return those that must be encoded alone, as some made several pre-tokens."""
-        ids = np.array(self.library.encode(" ".join(cores), add_special_tokens=False).ids, self.dtype)
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) != len(cores) or stops[-1:] != [len(ids)][: len(stops)]:
-            return cores
-        raw, w = ids.tobytes(), self.width
-        self.words.update(zip(cores, [raw[a * w : b * w] for a, b in zip([0, *stops], stops)]))  # noqa: B905
-        return []
+    def _together(self, cores: list[str]) -> None:
+        """Encode words of plain letters, many in a call; the last token of each is one that ends a word."""
+        lines = [" ".join(cores[at : at + 100]).lower() for at in range(0, len(cores), 100)]
+        found = [e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), self.dtype, sum(map(len, found)))
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+        raw = ids.tobytes()
+        self.words.update(zip(cores, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
 
 def encoder(path: str, kept: dict = {}) -> WordEncoder:  # noqa: B006
@@ -83,7 +119,7 @@ def encoder(path: str, kept: dict = {}) -> WordEncoder:  # noqa: B006
     return kept[path]
 
 
-def encoded_batches(path: str, texts, size: int = 4_000_000):
+def encoded_batches(path: str, texts, size: int = 3_000_000):
     """(index, ids) of each text, in order, a few million characters at a time, so that memory holds for any batch."""
     enc, some, total = encoder(path), [], 0
     for i, t in enumerate(texts):
