@@ -17,6 +17,12 @@ def op5_sorted_id_shards(spark, sf_dir):
     return token_shards(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op7_simhash_components(spark, sf_dir):
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
