@@ -61,22 +61,43 @@ class WordEncoder:
         self.words = _Words()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of several whole texts."""
-        cut = [self._cut(t) for t in texts]
+        """The ids of several whole texts. Arrow splits them and numbers their distinct words; only these are looked up."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.words) > self.keep:
             least = sorted(map(len, self.words))[self.keep // 2]  # short words come again soonest
             self.words = _Words((w, ids) for w, ids in self.words.items() if len(w) < least)
+        cut = pc.split_pattern(pa.array([self._spaced(t) for t in texts], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        del cut, coded
         find = self.words.__getitem__
-        found = [list(map(find, w)) for w in cut]
-        del cut
+        found = list(map(find, distinct))
         self._learn()
-        return [b"".join([x if type(x) is bytes else find(x) for x in f]) for f in found]
+        found = [x if type(x) is bytes else find(x) for x in found]
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        start = np.cumsum(length) - length
+        ids, out, first = np.frombuffer(b"".join(found), self.dtype), [], 0
+        while first < len(texts):  # some hundred thousand words at a time, and one text at least
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
+            w = at[done : ends[last - 1]]
+            n = length[w]
+            upto = np.cumsum(n)
+            tokens = ids[np.repeat(start[w] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+            bounds = np.concatenate(([0], upto))[np.concatenate(([0], ends[first:last] - done))] * self.width
+            raw = tokens.tobytes()
+            out += [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            first = last
+        return out
 
     @staticmethod
-    def _cut(text: str) -> list[str]:
+    def _spaced(text: str) -> str:
         if text.isascii():
             text = text.lower()  # as the normalizer does; outside ASCII the two may differ
-        return text.translate(CUT).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+        return text.translate(CUT) if "\t" in text or "\r" in text else text.replace("\n", " ")
 
     def _learn(self) -> None:
         """Encode the new words. One of plain letters and a last full stop or comma is put together from the two."""
@@ -119,7 +140,7 @@ def encoder(path: str, kept: dict = {}) -> WordEncoder:  # noqa: B006
     return kept[path]
 
 
-def encoded_batches(path: str, texts, size: int = 3_000_000):
+def encoded_batches(path: str, texts, size: int = 10_000_000):
     """(index, ids) of each text, in order, a few million characters at a time, so that memory holds for any batch."""
     enc, some, total = encoder(path), [], 0
     for i, t in enumerate(texts):
