@@ -23,6 +23,12 @@ def op7_simhash_components(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_leaks(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
