@@ -35,6 +35,12 @@ def op6_subword_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_nnls_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _vocabulary()).drop("ids")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
