@@ -41,6 +41,15 @@ def op3_nnls_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _vocabulary()).drop("ids")
 
 
+def op4_fuzzy_lines(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .linededup import without_repeated_lines
+
+    found = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -110,17 +110,19 @@ def fingerprints(docs: DataFrame, how, *, id_col: str, text_col: str) -> DataFra
     return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints", "sign"), "fingerprints")
 
 
-def links(items: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
+def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None, every: bool = False) -> DataFrame:
     """(a, b): items whose fingerprints of the same place in `prints` differ in at most `radius` bits, up to connection.
 
     items: (node long, prints array<long>). Items of an equal fingerprint are linked to the first of them, and that one
     to the first items of the other fingerprints within the radius. So links(…) connects what all pairs would connect.
+    masks: the bits that each table keeps, if not those of the covering family. every: give all pairs of neighbours in
+    hot buckets too, for a test that may drop some.
     """
     each = items.select("node", F.posexplode("prints").alias("j", "p"))
     unit = each.groupBy("j", "p").agg(F.min("node").alias("node"), F.count("*").alias("n"))
     same = each.join(unit.where("n > 1").select("j", "p", F.col("node").alias("a")), ["j", "p"]).where("node <> a").select("a", F.col("node").alias("b"))
     unit = written(unit.drop("n"), "prints")
-    masks = F.array(*[F.lit(signed(m)) for m in covering_masks(radius, bits)])
+    masks = F.array(*[F.lit(signed(m)) for m in masks or covering_masks(radius, bits)])
     rows = unit.select("j", "p", "node", F.posexplode(masks).alias("t", "m"))
     rows = rows.select(F.xxhash64("j", "t", F.col("p").bitwiseAND(F.col("m"))).alias("key"), "j", "p", "node")
     item = F.struct("p", "node")
@@ -134,7 +136,7 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     some = some.select(F.explode("e").alias("e")).select("e.a", "e.b")
     hot = member.where(f"n > {COLD}").select("j", "p", "node").distinct()
     if radius == 2:
-        hot = by_neighbours(hot, bits)
+        hot = by_neighbours(hot, bits, every)
     else:  # other radii: pairs of the bucket, in a join that Spark can split
         x = member.where(f"n > {COLD}").select("key", F.col("p").alias("xp"), F.col("node").alias("a"))
         y = member.where(f"n > {COLD}").select("key", F.col("p").alias("yp"), F.col("node").alias("b"))
@@ -142,11 +144,13 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     return same.union(pairs).union(some).union(hot).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def by_neighbours(items: DataFrame, bits: int = 64) -> DataFrame:
-    """(a, b) that connects the items (j, p, node), of distinct p, within two bits of each other."""
+def by_neighbours(items: DataFrame, bits: int = 64, every: bool = False) -> DataFrame:
+    """(a, b) that connects the items (j, p, node), of distinct p, within two bits of each other; with `every`, all pairs."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(bits)])
     rows = items.select("j", "node", F.explode(F.transform(flips, lambda m: F.col("p").bitwiseXOR(m))).alias("z"))
     balls = rows.groupBy("j", "z").agg(F.collect_set("node").alias("s")).where("size(s) > 1")
+    if every:  # at most bits + 1 members meet
+        return balls.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).where("a < b").distinct()
     return balls.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).where("a <> b")
 
 
