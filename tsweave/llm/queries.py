@@ -23,6 +23,12 @@ def op7_simhash_components(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op1_byte_shards(spark, sf_dir):
+    from .sharding import byte_shards
+
+    return byte_shards(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_leaks(spark, sf_dir):
     from .decontaminate import leaks
 
@@ -50,6 +56,15 @@ def op4_fuzzy_lines(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
 
 
+def op10_chat_paths(spark, sf_dir):
+    from .chat import conversations, from_turns, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return read_back(conversations(from_turns(rows)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
