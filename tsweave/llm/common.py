@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or, where it is unset (one machine), a new local one."""
@@ -42,6 +44,12 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Bound the bytes of the batches that go to Python, unless the session has its own bound, as texts can be very long."""
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB", "2147483647b"):  # the defaults of different versions
+        spark.conf.set(BATCH_BYTES, str(megabytes << 20))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle makes: the session's setting, which the cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

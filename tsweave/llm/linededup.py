@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded_batches, text_or_empty, written
 from .components import connected_components
 from .simhash import links, mixed
 
@@ -118,6 +118,7 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: i
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "rid": pdf["rid"], "line": pdf["line"], "h": pdf["h"], "p": line_fingerprints(pdf["norm"].tolist()).view(np.int64)})
 
+    bounded_batches(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
     seen = lines.select(F.col("doc_id").cast("string").alias("doc_id"), "rid", "line", "h", "norm").mapInPandas(run, "doc_id string, rid long, line int, h long, p long")
     seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines")

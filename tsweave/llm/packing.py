@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded_batches, text_or_empty, written
 from .wordbpe import crc_of_ids, encoded_batches, encoder
 
 WINDOW = 4096
@@ -93,6 +93,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int, bins:
     rank: rows of the same class before, in this task; full: full windows before. A task that is run again writes its
     rows again, and only the table that was committed is read.
     """
+    bounded_batches(docs.sparkSession)
     step = -(-window // bins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded_batches, text_or_empty, written
 from .components import connected_components
 
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
@@ -105,6 +105,7 @@ def fingerprints(docs: DataFrame, how, *, id_col: str, text_col: str) -> DataFra
             found = [how(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "prints": [x.view(np.int64) for x, _ in found], "sign": [x.view(np.int64) for _, x in found]})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = rows.mapInPandas(run, "doc_id string, prints array<long>, sign array<long>")
     return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints", "sign"), "fingerprints")

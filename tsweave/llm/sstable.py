@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, partitions, text_or_empty, written
+from .common import bounded_batches, filesystem, new_folder, partitions, text_or_empty, written
 from .wordbpe import crc_of_ids, encoded_batches, encoder
 
 MAGIC = b"SSTIDS01"
@@ -229,6 +229,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *,
             out.close()
             yield pd.DataFrame({"shard": [shard], "path": [path], "documents": [writer.documents], "tokens": [writer.tokens]})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
     # the identifier goes as text, as a column of integers with nulls would come as floating point

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 #: N-grams of so many characters; buckets for their hashes; width of a vector.
 NGRAMS = (3, 4, 5, 6)
@@ -200,6 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = np.concatenate([*out, np.zeros(0)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     found = rows.mapInPandas(run, "doc_id string, score double").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
     return found.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -43,7 +43,7 @@ def _plain(word: str) -> bool:
 class WordEncoder:
     """ids(text): the ids of a text as little-endian bytes, of `width` bytes each. At most `keep` words are kept."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,7 +140,7 @@ def encoder(path: str, kept: dict = {}) -> WordEncoder:  # noqa: B006
     return kept[path]
 
 
-def encoded_batches(path: str, texts, size: int = 10_000_000):
+def encoded_batches(path: str, texts, size: int = 6_000_000):
     """(index, ids) of each text, in order, a few million characters at a time, so that memory holds for any batch."""
     enc, some, total = encoder(path), [], 0
     for i, t in enumerate(texts):
