@@ -56,6 +56,12 @@ def op4_fuzzy_lines(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
 
 
+def op9_flac_media(spark, sf_dir):
+    from .media import media_features, store_texts
+
+    return media_features(store_texts(table(spark, sf_dir, "documents")))
+
+
 def op10_chat_paths(spark, sf_dir):
     from .chat import conversations, from_turns, read_back
 
