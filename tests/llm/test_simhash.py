@@ -69,7 +69,7 @@ def test_links_of_dense_groups(spark):
         prints[i] = x
         x ^= 1 << rng.randrange(64)
     items = spark.createDataFrame([(i, [S.signed(p)]) for i, p in prints.items()], "node long, prints array<long>")
-    got = {r.node: r.component for r in connected_components(S.links(items)).collect()}
+    got = {r.node: r.component for r in S.components_of(S.links(items)).collect()}
     want = plain_components(prints)
     assert {i: got.get(i, i) for i in prints} == want
 

@@ -5,8 +5,8 @@
 2. Each distinct line gets the SimHash of its words, with their repeats.
 3. Of BLOCKS blocks of a fingerprint, at least BLOCKS - RADIUS are equal where two differ in at most RADIUS bits. So a
    join on every choice of that many blocks finds all pairs within the radius, by keys of 32 bits.
-4. Pairs whose edit similarity, 1 - distance / longer length, reaches SIMILARITY are linked. Lines of over LONG
-   characters are compared word by word, as the time for characters grows with the square of the length.
+4. Pairs whose edit similarity over words, 1 - distance / longer length, reaches SIMILARITY are linked. Words are
+   compared by 15 bits of hash, one character each, so a line is a short string for the built-in edit distance.
 5. Of each connected group the first occurrence stays, by doc_id and place; the others go.
 """
 
@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty, written
-from .components import connected_components
-from .simhash import links, mixed
+from .simhash import components_of, links, mixed
 
 RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.8
-LONG = 4_000
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
@@ -35,8 +33,8 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> l
     return [sum(c) for c in combinations(part, blocks - radius)]
 
 
-def line_fingerprints(lines: list[str]) -> np.ndarray:
-    """The SimHash of each line's words. Distinct words of all the lines are hashed once."""
+def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(SimHash of each line's words, the words as one character each). Distinct words of all the lines are hashed once."""
     import pyarrow as pa
     import pyarrow.compute as pc
     import xxhash
@@ -50,6 +48,7 @@ def line_fingerprints(lines: list[str]) -> np.ndarray:
     index = coded.indices.to_numpy(zero_copy_only=False)
     n = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
     ends, out, first = np.cumsum(n), np.zeros(len(lines), np.uint64), 0
+    raw = codes(h)[index].tobytes().decode("utf-16-le")
     while first < len(lines):  # some hundred thousand words at a time
         done = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
@@ -57,74 +56,58 @@ def line_fingerprints(lines: list[str]) -> np.ndarray:
         total = np.add.reduceat(bits[index[done : ends[last - 1]]], starts, axis=0, dtype=np.int32)
         out[first:last] = np.packbits(total * 2 > n[first:last, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         first = last
-    return out
+    return out, [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rid, line, norm, h): the lines that aren't blank. rid: of the row's identifier and text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("doc_id", _rid(), F.posexplode(F.split("text", "\n")).alias("line", "norm"))
-    rows = rows.withColumn("norm", F.lower(F.trim(F.regexp_replace("norm", r"\s+", " ")))).where("norm <> ''")
-    return rows.withColumn("h", F.xxhash64("norm"))
+def codes(h: np.ndarray) -> np.ndarray:
+    """One UTF-16 unit, between 3000 and AFFF, for each word's hash."""
+    return (h >> np.uint64(49)).astype(np.uint16) + np.uint16(0x3000)
 
 
 def _rid():
     return F.xxhash64("doc_id", "text").alias("rid")
 
 
-def word_similarity(a: str, b: str, least: float) -> float:
-    """Edit similarity over words; 0 where it can't reach `least`."""
-    x, y = a.split(" "), b.split(" ")
-    number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(w, len(number)) for w in s]) for s in (x, y))
-    if len(x) < len(y):
-        x, y = y, x
-    most = int((1 - least) * len(x) + 1e-9)
-    if len(x) - len(y) > most:
-        return 0.0
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for i, w in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        row = np.minimum.accumulate(new - place) + place
-        if row.min() > most:
-            return 0.0
-    return 1 - row[-1] / len(x)
-
-
 def verified(edges: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose lines (h, norm) are similar enough."""
-    wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
-    text = written(lines.select("h", "norm").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
-    both = edges.join(text.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-    longer = "greatest(length(x), length(y))"
-    most = f"cast({longer} * {1 - least} + 1e-9 as int)"
-    short = both.where(f"{longer} <= {LONG} and abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0").select("a", "b")
-
-    def by_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [word_similarity(x, y, least) >= least for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return short.union(both.where(f"{longer} > {LONG}").mapInPandas(by_words, "a long, b long"))
+    """The edges (a, b) whose lines (h, coded) are similar enough."""
+    x, y = (lines.select(F.col("h").alias(c), F.col("coded").alias(v)) for c, v in ("ax", "by"))
+    both = edges.join(x, "a").join(y, "b")
+    most = f"cast(greatest(length(x), length(y)) * {1 - least} + 1e-9 as int)"
+    return both.where(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0").select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, gone): for each row with lines to go, their places from 0, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "rid": pdf["rid"], "line": pdf["line"], "h": pdf["h"], "p": line_fingerprints(pdf["norm"].tolist()).view(np.int64)})
+            row, place, norm = [], [], []
+            for i, text in enumerate(pdf["text"]):
+                for n, line in enumerate(text.split("\n")):
+                    if words := line.lower().split():
+                        row.append(i)
+                        place.append(n)
+                        norm.append(" ".join(words))
+            h = np.frombuffer(b"".join([xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass"), 42) for x in norm]), ">i8").astype(np.int64)
+            p, coded = line_fingerprints(norm)
+            own = pdf[["doc_id", "rid"]].iloc[row]
+            yield own.assign(line=place, h=h, p=p.view(np.int64), coded=coded)
 
     bounded_batches(docs.sparkSession)
-    lines = lines_of(docs, id_col, text_col)
-    seen = lines.select(F.col("doc_id").cast("string").alias("doc_id"), "rid", "line", "h", "norm").mapInPandas(run, "doc_id string, rid long, line int, h long, p long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), _rid(), "text")
+    seen = texts.mapInPandas(run, "doc_id string, rid long, line int, h long, p long, coded string")
     seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines")
     distinct = written(seen.groupBy("h").agg(F.min("p").alias("p"), F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    edges = written(links(distinct.select(F.col("h").alias("node"), F.array("p").alias("prints")), radius, masks=block_masks(radius, blocks), every=True), "line-pairs")
-    label = written(connected_components(verified(edges, lines, similarity)), "line-groups")
+    found = links(distinct.select(F.col("h").alias("node"), F.array("p").alias("prints")), radius, masks=block_masks(radius, blocks))
+
+    def test(edges: DataFrame) -> DataFrame:
+        edges = written(edges, "line-pairs")
+        wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
+        return verified(edges, written(seen.select("h", "coded").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes"), similarity)
+
+    label = written(components_of(found, test), "line-groups")
     group = label.join(distinct, label.node == distinct.h).groupBy("component").agg(F.min("first").alias("first"))
     first = label.join(group, "component").select(F.col("node").alias("h"), F.col("first").alias("of_group"))
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences

@@ -111,48 +111,77 @@ def fingerprints(docs: DataFrame, how, *, id_col: str, text_col: str) -> DataFra
     return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints", "sign"), "fingerprints")
 
 
-def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None, every: bool = False) -> DataFrame:
-    """(a, b): items whose fingerprints of the same place in `prints` differ in at most `radius` bits, up to connection.
+def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None) -> Links:
+    """What connects items whose fingerprints of the same place in `prints` differ in at most `radius` bits.
 
     items: (node long, prints array<long>). Items of an equal fingerprint are linked to the first of them, and that one
-    to the first items of the other fingerprints within the radius. So links(…) connects what all pairs would connect.
-    masks: the bits that each table keeps, if not those of the covering family. every: give all pairs of neighbours in
-    hot buckets too, for a test that may drop some.
+    to the first items of other fingerprints. masks: the bits that each table keeps, if not those of the covering family.
     """
     each = items.select("node", F.posexplode("prints").alias("j", "p"))
-    unit = each.groupBy("j", "p").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    unit = written(each.groupBy("j", "p").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
     same = each.join(unit.where("n > 1").select("j", "p", F.col("node").alias("a")), ["j", "p"]).where("node <> a").select("a", F.col("node").alias("b"))
-    unit = written(unit.drop("n"), "prints")
     masks = F.array(*[F.lit(signed(m)) for m in masks or covering_masks(radius, bits)])
     rows = unit.select("j", "p", "node", F.posexplode(masks).alias("t", "m"))
     rows = rows.select(F.xxhash64("j", "t", F.col("p").bitwiseAND(F.col("m"))).alias("key"), "j", "p", "node")
     item = F.struct("p", "node")
-    bucket = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("x"), F.max(item).alias("y")).where("n > 1")
-    bucket = written(bucket, "buckets")
-    near = f"bit_count(x.p ^ y.p) <= {radius}"
-    pairs = bucket.where(f"n = 2 and {near}").select("x.node", F.col("y.node").alias("b")).toDF("a", "b")
+    bucket = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("x"), F.max(item).alias("y")).where("n > 1"), "buckets")
     member = rows.join(bucket.where("n > 2").select("key", "n"), "key")
-    some = member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(item).alias("s"))
-    some = some.select(F.expr(f"flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, {COLD}), y -> {near}), y -> struct(x.node as a, y.node as b))))").alias("e"))
-    some = some.select(F.explode("e").alias("e")).select("e.a", "e.b")
-    hot = member.where(f"n > {COLD}").select("j", "p", "node").distinct()
-    if radius == 2:
-        hot = by_neighbours(hot, bits, every)
-    else:  # other radii: pairs of the bucket, in a join that Spark can split
-        x = member.where(f"n > {COLD}").select("key", F.col("p").alias("xp"), F.col("node").alias("a"))
-        y = member.where(f"n > {COLD}").select("key", F.col("p").alias("yp"), F.col("node").alias("b"))
-        hot = x.join(y, "key").where(f"a < b and bit_count(xp ^ yp) <= {radius}").select("a", "b")
-    return same.union(pairs).union(some).union(hot).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def by_neighbours(items: DataFrame, bits: int = 64, every: bool = False) -> DataFrame:
-    """(a, b) that connects the items (j, p, node), of distinct p, within two bits of each other; with `every`, all pairs."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(bits)])
-    rows = items.select("j", "node", F.explode(F.transform(flips, lambda m: F.col("p").bitwiseXOR(m))).alias("z"))
-    balls = rows.groupBy("j", "z").agg(F.collect_set("node").alias("s")).where("size(s) > 1")
-    if every:  # at most bits + 1 members meet
-        return balls.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).where("a < b").distinct()
-    return balls.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).where("a <> b")
+    return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits)
+
+
+class Links:
+    """Pairs (a, b) of near items, in two rounds, so that large groups don't give the square of their size.
+
+    first() links each member of a bucket to one near member, if any, and all of a hot neighbourhood to its first one.
+    rest(labels) gives every further pair of near members whose components differ, so with it nothing is missed: labels
+    are the components (node, component) that links so far have made, whether all of first() held or a test dropped some.
+    """
+
+    def __init__(self, same: DataFrame, twos: DataFrame, member: DataFrame, radius: int, bits: int):
+        self.same, self.twos, self.member, self.radius, self.bits = same, twos, member, radius, bits
+        self.near = f"bit_count(x.p ^ y.p) <= {radius}"
+
+    def first(self) -> DataFrame:
+        two = self.twos.where(self.near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node")).alias("s"))
+        some = some.select(F.explode(F.expr(f"transform(s, (x, i) -> struct(x.node as a, try_element_at(filter(slice(s, i + 2, {COLD}), y -> {self.near}), 1).node as b))")).alias("e"))
+        some = some.select("e.a", "e.b").where("b is not null")
+        hot = self._balls(self.member.select("j", "p", "node", "n", F.col("node").alias("component"))).select(F.array_min("s.node").alias("a"), F.explode("s.node").alias("b"))
+        return _pairs(self.same.union(two).union(some).union(hot))
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        own = self.member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed_key = own.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "component")).alias("s"))
+        mixed_key = mixed_key.where("size(array_distinct(s.component)) > 1")
+        some = mixed_key.select(F.explode(F.expr(f"flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, {COLD}), y -> {self.near} and x.component <> y.component), y -> struct(x.node as a, y.node as b))))")).alias("e")).select("e.a", "e.b")
+        hot = self._balls(own).where("size(array_distinct(s.component)) > 1")
+        hot = hot.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x.node < y.node and x.component <> y.component")
+        return _pairs(some.union(hot.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+
+    def _balls(self, member: DataFrame) -> DataFrame:
+        """(j, z, s): the members of hot buckets within one bit of z, at most bits + 1 of them; for a radius of two."""
+        if self.radius != 2:
+            raise ValueError("hot buckets are searched for a radius of two")
+        flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(self.bits)])
+        hot = member.where(f"n > {COLD}").select("j", "p", "node", "component").distinct()
+        z = F.explode(F.transform(flips, lambda m: F.col("p").bitwiseXOR(m))).alias("z")
+        balls = hot.select("j", "node", "component", z).groupBy("j", "z").agg(F.collect_list(F.struct("node", "component")).alias("s"))
+        return balls.where("size(s) > 1")
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components_of(found: Links, test=None) -> DataFrame:
+    """(node, component) by both rounds of links; test(edges) drops those that don't hold."""
+    test = test or (lambda edges: edges)
+    edges = written(test(found.first()), "links")
+    labels = written(connected_components(edges), "labels")
+    more = written(test(found.rest(labels)), "links")
+    if more.isEmpty():
+        return labels
+    return connected_components(edges.union(more))
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS, most_apart: int | None = None) -> DataFrame:
@@ -161,13 +190,17 @@ def grouped(prints: DataFrame, radius: int = RADIUS, most_apart: int | None = No
     most_apart: links whose signs differ in more bits than this are dropped first.
     """
     items = written(prints.groupBy("prints", "sign").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "print-classes")
-    edges = links(items.where("node is not null").select("node", "prints"), radius)
-    if most_apart is not None:
-        sign = items.select("node", "sign")
+    sign = items.select("node", "sign")
+
+    def test(edges: DataFrame) -> DataFrame:
+        if most_apart is None:
+            return edges
         x, y = (sign.select(F.col("node").alias(c), F.col("sign").alias(f"s{c}")) for c in "ab")
         apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-        edges = edges.join(x, "a").join(y, "b").where(apart <= most_apart).select("a", "b")
-    label = connected_components(edges).withColumnRenamed("component", "component_id")
+        return edges.join(x, "a").join(y, "b").where(apart <= most_apart).select("a", "b")
+
+    label = components_of(links(items.where("node is not null").select("node", "prints"), radius), test)
+    label = label.withColumnRenamed("component", "component_id")
     item = items.join(label, "node", "left").select("prints", "sign", F.coalesce("component_id", "node").alias("component_id"))
     return prints.join(item, ["prints", "sign"])
 
