@@ -19,6 +19,11 @@ PLAIN_BELOW = "\u0250"
 CUT = str.maketrans("\n\t\r", "   ")
 
 TAILS = (".", ",")
+#: UTF-8 of ASCII and of letters below U+0250; of these, the sequences that are no letter, or whose lower case is two characters.
+PLAIN_BYTES = bytes([*range(128), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+ODD_BYTES = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+#: What a byte is: letter or digit, white space, full stop or comma, or else.
+KIND = bytes(97 if c > 127 or chr(c).isalnum() else 32 if c in b"\t\n\v\f\r " else 46 if c in b".," else 33 for c in range(256))
 
 
 class _Words(dict):
@@ -43,7 +48,7 @@ def _plain(word: str) -> bool:
 class WordEncoder:
     """ids(text): the ids of a text as little-endian bytes, of `width` bytes each. At most `keep` words are kept."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,16 +82,17 @@ class WordEncoder:
         found = list(map(find, distinct))
         self._learn()
         found = [x if type(x) is bytes else find(x) for x in found]
-        length = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        start = np.cumsum(length) - length
+        length = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(self.width)
+        start = np.cumsum(length, dtype=np.int64) - length
         ids, out, first = np.frombuffer(b"".join(found), self.dtype), [], 0
         while first < len(texts):  # some hundred thousand words at a time, and one text at least
             done = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
             w = at[done : ends[last - 1]]
             n = length[w]
-            upto = np.cumsum(n)
-            tokens = ids[np.repeat(start[w] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+            upto = np.cumsum(n, dtype=np.int64)
+            near = start[w] - (upto - n)
+            tokens = ids[np.repeat(near.astype(np.int32) if len(ids) < 1 << 31 else near, n) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
             bounds = np.concatenate(([0], upto))[np.concatenate(([0], ends[first:last] - done))] * self.width
             raw = tokens.tobytes()
             out += [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -95,8 +101,13 @@ class WordEncoder:
 
     @staticmethod
     def _spaced(text: str) -> str:
-        if text.isascii():
-            text = text.lower()  # as the normalizer does; outside ASCII the two may differ
+        """The text with words apart by spaces; where that is safe, in lower case and with full stops and commas apart."""
+        raw = text.encode("utf-8", "surrogatepass")
+        if not raw.translate(None, PLAIN_BYTES) and not any(x in raw for x in ODD_BYTES):
+            text = text.lower()  # as the normalizer does; beyond these letters the two may differ
+            kind = raw.translate(KIND)
+            if b"!." not in kind and b".!" not in kind and b".." not in kind:  # else they are part of longer pre-tokens
+                text = text.replace(".", " . ").replace(",", " , ")
         return text.translate(CUT) if "\t" in text or "\r" in text else text.replace("\n", " ")
 
     def _learn(self) -> None:
