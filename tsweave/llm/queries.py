@@ -56,6 +56,18 @@ def op4_fuzzy_lines(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
 
 
+def op8_license_scan(spark, sf_dir):
+    """Documents as files source/thousand/doc_id, so that a directory holds those of a source and a thousand of ids."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.col("doc_id").cast("string"))
+    found = scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.expr("try_cast(element_at(split(path, '/'), -1) as bigint)").alias("doc_id"), *found.columns)
+
+
 def op9_flac_media(spark, sf_dir):
     from .media import media_features, store_texts
 
