@@ -1,7 +1,7 @@
 """Operator 10: conversations from reply trees.
 
-Messages are nodes (tree, node, parent, role, text, score). From every leaf, self-joins climb a step at a time to the
-root, so that each root-to-leaf path is a few narrow rows; a tree's paths are ranked by the sum of their scores, and the
+Messages are nodes (tree, node, parent, role, text, score). From every leaf, self-joins climb to the root
+by 1, 2, 4 and so on messages at a time, so that each root-to-leaf path is a few narrow rows; a tree's paths are ranked by the sum of their scores, and the
 best are formatted, one conversation each.
 
 A turn is formatted as  <s>[INST] role [/INST] text</s>  and the next follows at once. In roles and texts, a backslash is
@@ -57,22 +57,23 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, step): every message of every path, its leaf at step 0. nodes: written (tree, node, parent, n).
+    """(tree, leaf, node, step): every message of every path, its leaf at step 0. nodes: (tree, node, parent, n).
 
     A message whose parent is null or missing is a root. n is the tree's count of messages: a path of more is in a cycle.
     """
-    up = nodes.select("tree", "node", "parent", "n")
-    inner = up.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
-    here = up.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("step"), "parent", "n")
-    found = None
+    inner = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    found = written(nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("step"), "n"), "path-steps")
+    jump = nodes.select("tree", "node", F.col("parent").alias("up")).where("up is not null")
+    jump = written(jump.join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi"), "jumps")
+    reach = 1  # found has all steps below it, and jump goes up by it
     while True:
-        here = written(here, "path-steps")
-        if here.isEmpty():
-            return found if found is not None else here.select("tree", "leaf", "node", "step")
-        step = here.select("tree", "leaf", "node", "step")
-        found = step if found is None else found.union(step)
-        parents = up.select("tree", F.col("node").alias("parent"), F.col("parent").alias("next"))
-        here = here.join(parents, ["tree", "parent"]).where("step < n").select("tree", "leaf", F.col("parent").alias("node"), (F.col("step") + 1).alias("step"), F.col("next").alias("parent"), "n")
+        more = written(found.join(jump, ["tree", "node"]).where(f"step + {reach} < n").select("tree", "leaf", F.col("up").alias("node"), (F.col("step") + reach).alias("step"), "n"), "path-steps")
+        if more.isEmpty():
+            return found.drop("n")
+        found = found.union(more)
+        further = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = written(jump.join(further, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "jumps")
+        reach *= 2
 
 
 def conversations(messages: DataFrame, top: int = 1) -> DataFrame:
