@@ -55,8 +55,10 @@ def test_query_against_brute_force(spark):
     assert {i: c for i, (_, c) in got.items()} == plain_components(prints)
 
 
-def test_links_of_dense_groups(spark):
+@pytest.mark.parametrize("cold", [8, 128])
+def test_links_of_dense_groups(spark, monkeypatch, cold):
     """Over COLD fingerprints in one bucket, chains and balls, against all pairs."""
+    monkeypatch.setattr(S, "COLD", cold)
     rng = random.Random(7)
     base, prints = rng.getrandbits(64), {}
     for i in range(150):

@@ -23,7 +23,7 @@ from .common import bounded_batches, text_or_empty, written
 from .components import connected_components
 
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
-COLD = 32
+COLD = 128
 RADIUS = 2
 #: Odd numbers that make further hashes of a hash.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
@@ -123,8 +123,8 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[in
     masks = F.array(*[F.lit(signed(m)) for m in masks or covering_masks(radius, bits)])
     rows = unit.select("j", "p", "node", F.posexplode(masks).alias("t", "m"))
     rows = rows.select(F.xxhash64("j", "t", F.col("p").bitwiseAND(F.col("m"))).alias("key"), "j", "p", "node")
-    item = F.struct("p", "node")
-    bucket = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("x"), F.max(item).alias("y")).where("n > 1"), "buckets")
+    bucket = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("node").alias("a"), F.max("node").alias("b"))
+    bucket = written(bucket.where("n > 1"), "buckets")
     member = rows.join(bucket.where("n > 2").select("key", "n"), "key")
     return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits)
 
@@ -142,7 +142,7 @@ class Links:
         self.near = f"bit_count(x.p ^ y.p) <= {radius}"
 
     def first(self) -> DataFrame:
-        two = self.twos.where(self.near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        two = self.twos.where(f"bit_count(p ^ q) <= {self.radius}").select("a", "b")
         some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node")).alias("s"))
         some = some.select(F.explode(F.expr(f"transform(s, (x, i) -> struct(x.node as a, try_element_at(filter(slice(s, i + 2, {COLD}), y -> {self.near}), 1).node as b))")).alias("e"))
         some = some.select("e.a", "e.b").where("b is not null")
