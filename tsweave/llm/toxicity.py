@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty
 
-#: N-grams of so many characters; buckets for their hashes; width of a vector.
+#: N-grams of so many characters; buckets for their hashes, which 16 bits can number; width of a vector.
 NGRAMS = (3, 4, 5, 6)
 BUCKETS, WIDTH = 1 << 16, 8
 #: The training sample: the labelled documents of lowest hash, so many of each class, each of so many characters at most.
-PER_CLASS, LONGEST = 2_000, 100_000
-EPOCHS, BATCH, RATE, SEED = 12, 64, 1.0, 7
+PER_CLASS, LONGEST = 2_000, 20_000
+EPOCHS, BATCH, RATE, SEED = 10, 32, 1.0, 7
 #: A document's mean is over its distinct words and so many words of vector zero, so that a few words alone don't decide.
 EMPTY_WORDS = 8
 #: ASCII that is no letter or digit parts words.
@@ -88,10 +88,12 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share = (1 / np.maximum(np.bincount(of, minlength=len(words)), 1) / (len(words) + EMPTY_WORDS))[of] if words else np.zeros(0)
         total = np.bincount(b, share, BUCKETS) if len(b) else np.zeros(BUCKETS)
         at = np.flatnonzero(total)
-        buckets.append(at.astype(np.int32))
+        buckets.append(at.astype(np.uint16))
         weights.append(total[at].astype(np.float32))
         starts.append(starts[-1] + len(at))
-    return np.array(starts), np.concatenate([*buckets, np.zeros(0, np.int32)]), np.concatenate([*weights, np.zeros(0, np.float32)])
+    bucket = np.concatenate([*buckets, np.zeros(0, np.uint16)])
+    buckets.clear()
+    return np.array(starts), bucket, np.concatenate([*weights, np.zeros(0, np.float32)])
 
 
 def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray, float]:
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> tu
     sample = known.where("toxic <= 0").orderBy("h").limit(per_class).union(known.where("toxic > 0").orderBy("h").limit(per_class))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= LONGEST)
     found = {r.doc_id: r for r in short.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").toLocalIterator()}
-    rows = [found[i] for i in sorted(found)]
+    rows = [found.pop(i) for i in sorted(found)]
     return train([r.text for r in rows], [int(r.toxic > 0) for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
