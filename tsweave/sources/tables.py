@@ -172,7 +172,7 @@ def write_report(report: dict, folder: str) -> str:
 
 def list_reports(spark: SparkSession, folder: str, experiment_type: str | None = None) -> DataFrame:
     """(path, experiment_id, experiment_type, created_at), newest first; files that can't be read are left out."""
-    raw = spark.read.option("wholetext", True).text(f"{folder}/EXP-*.json").withColumn("path", F.input_file_name())
+    raw = spark.read.text(f"{folder}/EXP-*.json", wholetext=True).withColumn("path", F.input_file_name())
     m = F.from_json(F.get_json_object("value", "$.manifest"), "experiment_id string, experiment_type string, created_at string")
     out = raw.withColumn("m", m).where("m.experiment_id is not null").select("path", "m.*")
     if experiment_type:
@@ -182,7 +182,7 @@ def list_reports(spark: SparkSession, folder: str, experiment_type: str | None =
 
 def report_rows(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """The records under results.key of a report as a frame; numbers that are absent or no numbers are null."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     items = F.from_json(F.get_json_object("value", f"$.results.{key}"), f"array<struct<{schema}>>")
     return raw.select(F.explode(items).alias("r")).select("r.*")
 
