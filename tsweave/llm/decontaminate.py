@@ -49,11 +49,11 @@ def shingles(w: str, size: int) -> Column:
 def simhash(s: str) -> Column:
     """The SimHash of an array column of 64-bit hashes: the bits set in over half of them.
 
-    Sixteen sums each count four bits in lanes of 16 bits, for up to 65,535 hashes; longer arrays count in parts.
+    Sixteen sums each count four bits in lanes of 16 bits, for up to 32,767 hashes, as long sums must not overflow; longer arrays count in parts.
     """
     lane = int("1000100010001", 16)
-    sums = "array(" + ", ".join(f"aggregate(slice(h, p * 65535 + 1, 65535), 0L, (t, x) -> t + (shiftrightunsigned(x, {k}) & {lane}L))" for k in range(16)) + ")"
-    parts = f"transform(sequence(0, greatest(size(h) - 1, 0) div 65535), p -> {sums})"
+    sums = "array(" + ", ".join(f"aggregate(slice(h, p * 32767 + 1, 32767), 0L, (t, x) -> t + (shiftrightunsigned(x, {k}) & {lane}L))" for k in range(16)) + ")"
+    parts = f"transform(sequence(0, greatest(size(h) - 1, 0) div 32767), p -> {sums})"
     bit = "aggregate(parts, 0L, (n, c) -> n + (shiftrightunsigned(c[b % 16], 16 * (b div 16)) & 65535L)) * 2 > size(h)"
     whole = f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if({bit}, shiftleft(1L, b), 0L))"
     return F.expr(_let(s, "h", _let(parts, "parts", whole)))
