@@ -70,12 +70,13 @@ def _block(f: str) -> Column:
 
 def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(f, g, apart): every pair of a fingerprint f of windows and a fingerprint g of items at most `radius` bits apart."""
+    # the optimizer takes the items' values for few, as they come from few rows; they are too many to broadcast
     blocks = F.explode(F.array(*[F.lit(b) for b in range(BLOCKS)])).alias("block")
     near = F.array(*[F.lit(d).cast("long") for d in _near(BLOCK_BITS, radius // BLOCKS)])
     own = windows.select("f").distinct().select("f", blocks).select("f", "block", _block("f").alias("value"))
     put = items.select(F.col("f").alias("g")).distinct().select("g", blocks).select("g", "block", _block("g").alias("own"))
     put = put.select("g", "block", F.explode(F.transform(near, lambda d: F.col("own").bitwiseXOR(d))).alias("value"))
-    pairs = own.join(put, ["block", "value"]).select("f", "g", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("apart"))
+    pairs = own.join(put.hint("shuffle_merge"), ["block", "value"]).select("f", "g", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("apart"))
     return pairs.where(F.col("apart") <= radius).distinct()
 
 

@@ -111,11 +111,13 @@ def fingerprints(docs: DataFrame, how, *, id_col: str, text_col: str) -> DataFra
     return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints", "sign"), "fingerprints")
 
 
-def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None) -> Links:
+def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None, signs: DataFrame | None = None, most_apart: int = 0) -> Links:
     """What connects items whose fingerprints of the same place in `prints` differ in at most `radius` bits.
 
     items: (node long, prints array<long>). Items of an equal fingerprint are linked to the first of them, and that one
     to the first items of other fingerprints. masks: the bits that each table keeps, if not those of the covering family.
+    signs: (node, sign), with which members of a bucket are only linked where their signs differ in most_apart bits at
+    most; links of equal fingerprints, of buckets of two and of first() in hot buckets are left to a test that follows.
     """
     each = items.select("node", F.posexplode("prints").alias("j", "p"))
     unit = written(each.groupBy("j", "p").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
@@ -126,7 +128,8 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[in
     bucket = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("node").alias("a"), F.max("node").alias("b"))
     bucket = written(bucket.where("n > 1"), "buckets")
     member = rows.join(bucket.where("n > 2").select("key", "n"), "key")
-    return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits)
+    member = member.join(signs, "node") if signs is not None else member.withColumn("sign", F.lit(None).cast("array<bigint>"))
+    return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits, most_apart if signs is not None else None)
 
 
 class Links:
@@ -137,35 +140,36 @@ class Links:
     are the components (node, component) that links so far have made, whether all of first() held or a test dropped some.
     """
 
-    def __init__(self, same: DataFrame, twos: DataFrame, member: DataFrame, radius: int, bits: int):
+    def __init__(self, same: DataFrame, twos: DataFrame, member: DataFrame, radius: int, bits: int, most_apart: int | None):
         self.same, self.twos, self.member, self.radius, self.bits = same, twos, member, radius, bits
-        self.near = f"bit_count(x.p ^ y.p) <= {radius}"
+        self.alike = "true" if most_apart is None else f"aggregate(zip_with(x.sign, y.sign, (p, q) -> bit_count(p ^ q)), 0, (t, n) -> t + n) <= {most_apart}"
+        self.near = f"(bit_count(x.p ^ y.p) <= {radius} and {self.alike})"
 
     def first(self) -> DataFrame:
         two = self.twos.where(f"bit_count(p ^ q) <= {self.radius}").select("a", "b")
-        some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node")).alias("s"))
+        some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "sign")).alias("s"))
         some = some.select(F.explode(F.expr(f"transform(s, (x, i) -> struct(x.node as a, try_element_at(filter(slice(s, i + 2, {COLD}), y -> {self.near}), 1).node as b))")).alias("e"))
         some = some.select("e.a", "e.b").where("b is not null")
-        hot = self._balls(self.member.select("j", "p", "node", "n", F.col("node").alias("component"))).select(F.array_min("s.node").alias("a"), F.explode("s.node").alias("b"))
+        hot = self._balls(self.member.select("j", "p", "node", "n", F.lit(None).cast("array<bigint>").alias("sign"), F.col("node").alias("component"))).select(F.array_min("s.node").alias("a"), F.explode("s.node").alias("b"))
         return _pairs(self.same.union(two).union(some).union(hot))
 
     def rest(self, labels: DataFrame) -> DataFrame:
         own = self.member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_key = own.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "component")).alias("s"))
+        mixed_key = own.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "component", "sign")).alias("s"))
         mixed_key = mixed_key.where("size(array_distinct(s.component)) > 1")
         some = mixed_key.select(F.explode(F.expr(f"flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, {COLD}), y -> {self.near} and x.component <> y.component), y -> struct(x.node as a, y.node as b))))")).alias("e")).select("e.a", "e.b")
         hot = self._balls(own).where("size(array_distinct(s.component)) > 1")
-        hot = hot.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x.node < y.node and x.component <> y.component")
-        return _pairs(some.union(hot.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+        pairs = f"flatten(transform(s, x -> transform(filter(s, y -> y.node > x.node and y.component <> x.component and {self.alike}), y -> struct(x.node as a, y.node as b))))"
+        return _pairs(some.union(hot.select(F.explode(F.expr(pairs)).alias("e")).select("e.a", "e.b")))
 
     def _balls(self, member: DataFrame) -> DataFrame:
         """(j, z, s): the members of hot buckets within one bit of z, at most bits + 1 of them; for a radius of two."""
         if self.radius != 2:
             raise ValueError("hot buckets are searched for a radius of two")
         flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(self.bits)])
-        hot = member.where(f"n > {COLD}").select("j", "p", "node", "component").distinct()
+        hot = member.where(f"n > {COLD}").select("j", "p", "node", "component", "sign").distinct()
         z = F.explode(F.transform(flips, lambda m: F.col("p").bitwiseXOR(m))).alias("z")
-        balls = hot.select("j", "node", "component", z).groupBy("j", "z").agg(F.collect_list(F.struct("node", "component")).alias("s"))
+        balls = hot.select("j", "node", "component", "sign", z).groupBy("j", "z").agg(F.collect_list(F.struct("node", "component", "sign")).alias("s"))
         return balls.where("size(s) > 1")
 
 
@@ -199,7 +203,7 @@ def grouped(prints: DataFrame, radius: int = RADIUS, most_apart: int | None = No
         apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
         return edges.join(x, "a").join(y, "b").where(apart <= most_apart).select("a", "b")
 
-    label = components_of(links(items.where("node is not null").select("node", "prints"), radius), test)
+    label = components_of(links(items.where("node is not null").select("node", "prints"), radius, signs=sign if most_apart is not None else None, most_apart=most_apart or 0), test)
     label = label.withColumnRenamed("component", "component_id")
     item = items.join(label, "node", "left").select("prints", "sign", F.coalesce("component_id", "node").alias("component_id"))
     return prints.join(item, ["prints", "sign"])

@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the vectors of its character n-grams, taken with marks at both ends, and of the word
 itself; a document's is the mean of its distinct words'; a linear softmax over two classes makes it a probability. Vectors and
-softmax are trained together, in numpy on the driver, by Adagrad on a bounded sample of labelled documents. As n-grams share
+softmax are trained together, in numpy in one task, by Adagrad on a bounded sample of labelled documents. As n-grams share
 vectors, a word that no training text has is judged by its parts.
 
 The whole is linear after training, so each n-gram has one number, the difference of the two class scores of its vector.
@@ -148,9 +148,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> tu
     known = known.withColumn("h", F.xxhash64("doc_id"))
     sample = known.where("toxic <= 0").orderBy("h").limit(per_class).union(known.where("toxic > 0").orderBy("h").limit(per_class))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= LONGEST)
-    found = {r.doc_id: r for r in short.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").toLocalIterator()}
-    rows = [found.pop(i) for i in sorted(found)]
-    return train([r.text for r in rows], [int(r.toxic > 0) for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        rows = pd.concat(rows)
+        rows = rows.sort_values(["doc_id", "text"])
+        number, bias = train(rows["text"].tolist(), (rows["toxic"] > 0).astype(int).tolist(), share)
+        yield pd.DataFrame({"number": [number.astype("<f4").tobytes()], "bias": [bias]})
+
+    rows = short.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
+    found = rows.repartition(1).mapInPandas(run, "number binary, bias double").first()
+    return (np.frombuffer(found.number, "<f4"), found.bias) if found else train([], [], 0.0)
 
 
 class Scorer:
