@@ -1,6 +1,7 @@
 """Every query with SQL, against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tsweave import plans
@@ -22,7 +23,7 @@ def canonical(df):
     df = df[sorted(df.columns)].copy()
     for c in df:
         text = df[c].dtype == object or str(df[c].dtype).startswith(("str", "bool"))
-        df[c] = df[c].map(lambda x: None if x is None or x != x else str(x)) if text else df[c].astype("float64").round(5) + 0.0
+        df[c] = df[c].map(lambda x: None if pd.isna(x) else str(x)) if text else df[c].astype("float64").round(5) + 0.0
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
