@@ -45,6 +45,7 @@ def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(w, 42) for w in words]), ">u8").astype(np.uint64)
     bits = np.unpackbits(mixed(h)[:, None].view(np.uint8), axis=1, bitorder="little") if len(h) else np.zeros((0, 64), np.uint8)
+    bits = bits.view(np.uint64)  # eight counters in one sum, for up to 255 words
     index = coded.indices.to_numpy(zero_copy_only=False)
     n = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
     ends, out, first = np.cumsum(n), np.zeros(len(lines), np.uint64), 0
@@ -53,7 +54,11 @@ def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
         done = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
         starts = np.concatenate(([0], ends[first:last] - done))[:-1]
-        total = np.add.reduceat(bits[index[done : ends[last - 1]]], starts, axis=0, dtype=np.int32)
+        pieces = -(-n[first:last] // 255)
+        lead = np.cumsum(pieces) - pieces
+        at = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(lead, pieces))
+        part = np.add.reduceat(bits[index[done : ends[last - 1]]], at, axis=0).view(np.uint8)
+        total = np.add.reduceat(part, lead, axis=0, dtype=np.int32)
         out[first:last] = np.packbits(total * 2 > n[first:last, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         first = last
     return out, [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
@@ -85,8 +90,8 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: i
         for pdf in batches:
             row, place, norm = [], [], []
             for i, text in enumerate(pdf["text"]):
-                for n, line in enumerate(text.split("\n")):
-                    if words := line.lower().split():
+                for n, line in enumerate(text.lower().split("\n")):
+                    if words := line.split():
                         row.append(i)
                         place.append(n)
                         norm.append(" ".join(words))

@@ -127,7 +127,7 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[in
     rows = rows.select(F.xxhash64("j", "t", F.col("p").bitwiseAND(F.col("m"))).alias("key"), "j", "p", "node")
     bucket = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("node").alias("a"), F.max("node").alias("b"))
     bucket = written(bucket.where("n > 1"), "buckets")
-    member = rows.join(bucket.where("n > 2").select("key", "n"), "key")
+    member = rows.join(bucket.where("n > 2").select("key", "n").hint("shuffle_merge"), "key")  # grows with the data: no broadcast
     member = member.join(signs, "node") if signs is not None else member.withColumn("sign", F.lit(None).cast("array<bigint>"))
     return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits, most_apart if signs is not None else None)
 
