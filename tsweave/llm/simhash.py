@@ -224,8 +224,10 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIU
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Eight SimHashes of single words find the candidates, and 256 SimHash bits of the set of five-word shingles judge them.
-WORD_PRINTS, SIGN_WORDS = 8, 4
+#: Eight SimHashes of single words find the candidates, and 512 SimHash bits of the set of five-word shingles judge them.
+WORD_PRINTS, SIGN_WORDS = 8, 8
+#: How far under the asked similarity an estimate may lie: about its standard error there.
+SLACK = 0.02
 
 
 def most_apart(similarity: float, bits: int) -> int:
@@ -238,12 +240,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     Two documents are candidates where one of eight SimHashes of their words (a word's weight is its count) differs in at
     most two bits: a text of 0.8 or more changes few words, but many shingles, so words lead to it far more surely.
-    Their similarity is then estimated from 256 SimHash bits of the shingles (standard error about 0.03 at 0.8).
+    Their similarity is then estimated from 512 SimHash bits of the shingles, with a standard error of about 0.02 at 0.8,
+    and may fall short of the asked one by as much.
     Defined results for odd rows are those of simhash_components().
     """
 
     def how(text: str):
         return word_fingerprints(text, WORD_PRINTS, shingle, SIGN_WORDS)
 
-    found = grouped(fingerprints(docs, how, id_col=id_col, text_col=text_col), RADIUS, most_apart(similarity, 64 * SIGN_WORDS))
+    found = grouped(fingerprints(docs, how, id_col=id_col, text_col=text_col), RADIUS, most_apart(similarity - SLACK, 64 * SIGN_WORDS))
     return found.select("doc_id", "component_id")
