@@ -115,3 +115,24 @@ def test_pipeline_stages(spark):
         assert len(rows) > 0.5 * len(before) and {r.doc_id for r in rows} <= set(before), name
     last = pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in rows}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, None, None, None, None), (None, "", "en", "s", 0), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "same words in this text here", "en", "s", 28), (3, "same words in this text here", "en", "s", 28), (4, f"before {item} after", "en", "s", 9), (5, "w " * 50_000, "en", "s", 9)]
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "x", 0, 0), (2, "x", 1, 0)], "doc_id long, note string, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf).collect()
+        ids = [r.doc_id for r in kept]
+        assert ids.count(None) == 2, name
+        docs = spark.createDataFrame(kept, schema)
+    assert 4 not in ids and ids.count(3) <= 1 and 5 in ids
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() >= len(kept)
+    none = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0

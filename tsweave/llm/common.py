@@ -44,6 +44,11 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written in the shared folder. Frames that still read it can't be used after."""
+    delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bound the bytes of the batches that go to Python, unless the session has its own bound, as texts can be very long."""
     if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB", "2147483647b"):  # the defaults of different versions

@@ -95,6 +95,8 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: i
                         row.append(i)
                         place.append(n)
                         norm.append(" ".join(words))
+            if not norm:
+                continue
             h = np.frombuffer(b"".join([xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass"), 42) for x in norm]), ">i8").astype(np.int64)
             p, coded = line_fingerprints(norm)
             own = pdf[["doc_id", "rid"]].iloc[row]

@@ -65,7 +65,8 @@ def pcm_blocks(media: DataFrame, *keys: str) -> DataFrame:
                 rows = []
                 for own, blocks in zip(some, flac.decode([x.media for x in some]), strict=True):
                     rows += [(*own[: len(keys)], n, s, len(x), x.astype(np.int8).tobytes()) for n, (s, x) in enumerate(blocks)]
-                yield pd.DataFrame(rows, columns=columns)
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     bounded_batches(media.sparkSession)
     kept = media.select(*[F.col(k).cast("string").alias(k) for k in keys], "media").where("media is not null")

@@ -203,7 +203,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, *, window: int = WIN
                 if len(out) > 5_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     whole = tokens.drop("full").join(rest, ["part", "row"]).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("n"), "full", "sequence_id", "offset", "loose", "ids")
     found = whole.mapInPandas(cut, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -257,7 +257,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if len(out) == 50_000:
                         yield _frame(out)
                         out = []
-                yield _frame(out)
+                if out:
+                    yield _frame(out)
 
     shards = spark.createDataFrame(rows, "path string, start long")
     return shards.repartition(max(1, len(rows)), "path").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
