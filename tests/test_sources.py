@@ -79,3 +79,19 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("s_bars").count() == 2 and spark.table("s_episodes").first().observations == 6
+
+
+def test_stream_matches_and_scores(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id*10) ts, id*10 t, 'X' symbol, 1.0D + id bid, 2.0D + id ask, cast(id % 3 as double) value from range(8)").coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    read = lambda: spark.readStream.schema(schema).parquet(src)
+    q = streams.tolerance_matches(read(), read(), "10 seconds", "1 minute").writeStream.format("memory").queryName("s_pairs").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("s_pairs").count() == 8 + 2 * 7
+    q = streams.rolling_zscores(read().select("symbol", "t", "value"), 3).writeStream.format("memory").queryName("s_z").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    z = [r.zscore for r in spark.table("s_z").orderBy("t").collect()]
+    assert z[:2] == [None, None] and abs(z[2] - 1.224744871391589) < 1e-12
