@@ -23,7 +23,7 @@ from .common import bounded_batches, text_or_empty, written
 from .components import connected_components
 
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
-COLD = 128
+COLD = 512
 RADIUS = 2
 #: Odd numbers that make further hashes of a hash.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
