@@ -91,3 +91,37 @@ def test_odd_rows(spark):
     assert by[None] == [("same line here", 1, 0)] and by[1] == [("", 1, 1)] and by[2] == [("\nother words follow now", 3, 1)]
     assert by[3] == [(None, 0, 0)] and by[4] == [("", 1, 0)] and by[6] == [("unique first", 2, 1)] * 2
     assert L.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def alike(lines):
+    """Groups of normalised lines by edit similarity alone."""
+    group = {x: {x} for x in lines}
+    for x in lines:
+        for y in lines:
+            a, b = x.split(), y.split()
+            if x < y and edit(a, b) <= int(max(len(a), len(b)) * (1 - L.SIMILARITY) + 1e-9) and group[x] is not group[y]:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    return {frozenset(g) for g in group.values()}
+
+
+def test_every_group_by_edit_similarity_alone(spark):
+    """Lines at the limit of edits, of common words only, and with bars as over half their words."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    lines = {f"| {a} | {b} | {c} | {d} |" for a in "pqr" for b, c, d in [rng.sample(words, 3) for _ in range(12)]}
+    lines |= {" ".join(rng.choice("uvw") for _ in range(rng.randint(4, 9))) for _ in range(40)}
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(4, 40))]
+        for _ in range(3):
+            w = list(base)
+            for _ in range(len(base) // 5):
+                at, what = rng.randrange(len(w)), rng.random()
+                w[at : at + 1] = [] if what < 0.3 else [rng.choice(words), w[at]] if what < 0.6 else [rng.choice(words)]
+            lines.add(" ".join(w))
+    lines = sorted(lines)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in L.without_repeated_lines(docs).collect() if r.n_removed == 0}
+    want = alike(lines)
+    assert len(want) < len(lines) and got == {min(lines.index(x) for x in g) for g in want}

@@ -2,29 +2,37 @@
 
 1. A text's lines are cut at line feeds and normalised: lower case, white space to single spaces, none at the ends.
    Equal normalised lines are one line from here on, known by a 64-bit hash.
-2. Each distinct line gets the SimHash of its words, with their repeats.
-3. Of BLOCKS blocks of a fingerprint, at least BLOCKS - RADIUS are equal where two differ in at most RADIUS bits. So a
-   join on every choice of that many blocks finds all pairs within the radius, by keys of 32 bits.
+2. Candidates are pairs that share one of the rarest pairs of neighbouring words. An edit breaks at most two of these, so
+   of two lines within k edits each has, among its 2k + 1 rarest in one order for all lines, one that the other has
+   among its own (prefix_length() says how many exactly). So no pair is missed, whatever the data.
+3. Of these, pairs stay whose lengths and 128 parities of words let them be within k edits: an edit flips two at most.
 4. Pairs whose edit similarity over words, 1 - distance / longer length, reaches SIMILARITY are linked. Words are
-   compared by 15 bits of hash, one character each, so a line is a short string for the built-in edit distance.
+   compared by 20 bits of hash, one character each, so a line is a short string for the built-in edit distance.
+   To spare groups the square of their size, a bucket's lines are first tested against its first line; then all pairs of
+   a bucket are that aren't connected yet.
 5. Of each connected group the first occurrence stays, by doc_id and place; the others go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty, written
-from .simhash import components_of, links, mixed
+from .components import connected_components
+from .simhash import mixed
 
-RADIUS, BLOCKS = 2, 4
+#: Fingerprints no longer choose the candidates: all 64 bits may differ.
+RADIUS, BLOCKS = 64, 64
 SIMILARITY = 0.8
+#: Of about so many lines the commonest words are counted. The counts only order the pairs of words.
+SAMPLE, COMMON = 40_000, 65_536
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
@@ -49,7 +57,7 @@ def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
     index = coded.indices.to_numpy(zero_copy_only=False)
     n = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
     ends, out, first = np.cumsum(n), np.zeros(len(lines), np.uint64), 0
-    raw = codes(h)[index].tobytes().decode("utf-16-le")
+    raw = codes(h)[index].astype("<u4").tobytes().decode("utf-32-le")
     while first < len(lines):  # some hundred thousand words at a time
         done = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
@@ -65,8 +73,80 @@ def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
 
 
 def codes(h: np.ndarray) -> np.ndarray:
-    """One UTF-16 unit, between 3000 and AFFF, for each word's hash."""
-    return (h >> np.uint64(49)).astype(np.uint16) + np.uint16(0x3000)
+    """One UTF-32 unit, of the 2^20 from 10000, for each word's hash."""
+    return (h >> np.uint64(44)).astype(np.uint32) + np.uint32(0x10000)
+
+
+def coded_lines(lines: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(the words as one character each, how many, 128 parities: bit i of a line's, whether it has an odd number of words i)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    digest = xxhash.xxh64_digest
+    h = np.frombuffer(b"".join([digest(w, 42) for w in coded.dictionary.to_pylist()]), ">u8").astype(np.uint64)
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    c = codes(h)
+    at = c & np.uint32(127)
+    odd = np.where((at >> 6)[:, None] == np.arange(2), np.uint64(1) << (at & np.uint32(63)).astype(np.uint64)[:, None], np.uint64(0))
+    ends = np.cumsum(n)
+    raw = c[index].astype("<u4").tobytes().decode("utf-32-le")
+    return [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], n, np.bitwise_xor.reduceat(odd[index], ends - n, axis=0)
+
+
+def allowed(n: int, similarity: float) -> int:
+    """The edits that a line of n words, the longer of two, may be apart from the other."""
+    return int(n * (1 - similarity) + 1e-9)
+
+
+@cache
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of its rarest pairs of words a line of n words is found by.
+
+    A longer line of m words within k edits needs m - n insertions, which break one pair of the shorter line each; other
+    edits break two. So m - 1 - 2k pairs are shared, and the rarest shared one is among the first n - 1 - (m - 1 - 2k) + 1.
+    """
+    near = [m for m in range(n, int(n / similarity + 1e-9) + 1) if allowed(m, similarity)]
+    return min(n - 1, max((n - m + 2 * allowed(m, similarity) + 1 for m in near), default=0))
+
+
+def pair_keys(coded: list[str], counted: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line's place, key): the rarest pairs of neighbouring words of each line. The second of an equal pair is another one.
+
+    counted: codes, sorted, and a logarithm of their counts.
+    """
+    n = np.array([len(x) for x in coded], np.int64)
+    word = np.frombuffer("".join(coded).encode("utf-32-le"), "<u4")
+    own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    first = np.flatnonzero(own[1:] == own[:-1])
+    own = own[first]
+    key = mixed(word[first].astype(np.uint64) << np.uint64(32) | word[first + 1])
+    known, log = counted
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1) if len(known) else np.zeros(len(word), np.int64)
+    log = np.where(known[at] == word, log[at], 0) if len(known) else at
+    rare = (log[first] + log[first + 1]).astype(np.uint64)
+
+    def order(*columns: tuple[np.ndarray, int]) -> np.ndarray:
+        place = own
+        for column, bits in columns:
+            place = place << np.uint64(bits) | column
+        return np.argsort(place)
+
+    o = order((key >> np.uint64(20), 44))
+    own, key, rare = own[o], key[o], rare[o]
+    new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))[: len(own)]
+    place = np.arange(len(own))
+    again = place - np.maximum.accumulate(np.where(new, place, 0)) if len(own) else place
+    key = np.where(again > 0, mixed(key + again.astype(np.uint64)), key)
+    o = order((rare, 8), (key >> np.uint64(28), 36))
+    own, key = own[o].astype(np.int64), key[o]
+    lead = np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0)
+    most = np.array([prefix_length(x, similarity) for x in n.tolist()], np.int64)
+    kept = np.arange(len(own)) - lead[own] < most[own]
+    return own[kept], key[kept]
 
 
 def _rid():
@@ -81,7 +161,45 @@ def verified(edges: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     return both.where(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0").select("a", "b")
 
 
-def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): lines that share a key with another, by each such key. lines: (h, coded), where a line may recur."""
+    few = max(1, lines.count() // SAMPLE)
+    common = lines.where(f"pmod(xxhash64(h), {few}) = 0").select(F.explode(F.split("coded", "")).alias("w")).where("w <> ''")
+    common = common.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()
+    known = np.array([ord(r.w) for r in common], np.uint32)
+    log = np.array([min(120, int(4 * np.log2(r.n))) for r in common], np.uint8)
+    o = np.argsort(known)
+    counted = known[o], log[o]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, key = pair_keys(pdf["coded"].tolist(), counted, similarity)
+            yield pd.DataFrame({"key": key.view(np.int64), "node": pdf["h"].to_numpy()[own]})
+
+    keys = lines.select("h", "coded").mapInPandas(run, "key long, node long")
+    of_key = Window.partitionBy("key")
+    shared = keys.withColumn("least", F.min("node").over(of_key)).withColumn("most", F.max("node").over(of_key)).where("least <> most")
+    return shared.select("key", "node").distinct()
+
+
+def near_lines(member: DataFrame, test, similarity: float) -> DataFrame:
+    """(node, component) of the lines that are like another. member: written (key, node, n, odd, odd2); test(edges) verifies."""
+    most = f"cast(greatest(x.n, y.n) * {1 - similarity} + 1e-9 as int)"
+    near = F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most}")
+
+    def pairs(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
+        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr("x.key = y.key")).where(near & F.expr(where))
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    hub = member.groupBy("key").agg(F.min(F.struct("node", "n", "odd", "odd2")).alias("s")).select("key", "s.*")
+    edges = written(test(pairs(hub, member, "x.node <> y.node")), "links")
+    labels = written(connected_components(edges), "labels")
+    own = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = written(test(pairs(own, own, "x.node < y.node and x.component <> y.component")), "links")
+    return labels if more.isEmpty() else connected_components(edges.union(more))
+
+
+def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, gone): for each row with lines to go, their places from 0, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,23 +216,26 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, radius: i
             if not norm:
                 continue
             h = np.frombuffer(b"".join([xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass"), 42) for x in norm]), ">i8").astype(np.int64)
-            p, coded = line_fingerprints(norm)
-            own = pdf[["doc_id", "rid"]].iloc[row]
-            yield own.assign(line=place, h=h, p=p.view(np.int64), coded=coded)
+            coded, n, odd = coded_lines(norm)
+            own = pdf[["doc_id", "rid"]].iloc[row].assign(line=place, h=h, n=n, odd=odd[:, 0].view(np.int64), odd2=odd[:, 1].view(np.int64), coded=coded)
+            own.loc[own["h"].duplicated().to_numpy(), "coded"] = None
+            yield own
 
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), _rid(), "text")
-    seen = texts.mapInPandas(run, "doc_id string, rid long, line int, h long, p long, coded string")
-    seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines")
-    distinct = written(seen.groupBy("h").agg(F.min("p").alias("p"), F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    found = links(distinct.select(F.col("h").alias("node"), F.array("p").alias("prints")), radius, masks=block_masks(radius, blocks))
+    seen = texts.mapInPandas(run, "doc_id string, rid long, line int, h long, n int, odd long, odd2 long, coded string")
+    seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines", compression="zstd")
+    distinct = written(seen.groupBy("h").agg(F.min("odd").alias("odd"), F.min("odd2").alias("odd2"), F.min("n").alias("words"), F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    lines = seen.where("coded is not null").select("h", "coded")
+    member = written(bucket_members(lines, similarity), "buckets")
+    member = written(member.join(distinct.select(F.col("h").alias("node"), F.col("words").alias("n"), "odd", "odd2").hint("shuffle_merge"), "node"), "bucket-members")
 
     def test(edges: DataFrame) -> DataFrame:
         edges = written(edges, "line-pairs")
         wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
-        return verified(edges, written(seen.select("h", "coded").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes"), similarity)
+        return verified(edges, written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes"), similarity)
 
-    label = written(components_of(found, test), "line-groups")
+    label = written(near_lines(member, test, similarity), "line-groups")
     group = label.join(distinct, label.node == distinct.h).groupBy("component").agg(F.min("first").alias("first"))
     first = label.join(group, "component").select(F.col("node").alias("h"), F.col("first").alias("of_group"))
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences
