@@ -4,9 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tsweave.llm import simhash as S
-from tsweave.llm.components import connected_components
+from tsweave.llm.components import components_by_keys, connected_components, shared_keys
 
 
 def plain_fingerprint(text):
@@ -110,3 +111,12 @@ def test_near_duplicates_find_edited_copies(spark):
     got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(pdf)).collect()}
     assert all(base[i] == base[c] for i, c in got.items())
     assert sum(c == 3 * base[i] for i, c in got.items()) >= 0.93 * len(texts)
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_pairs_of_a_bucket_whose_first_item_is_like_none(spark, n):
+    """Of one key: item 0 fails with all, the others hold among neighbours; an edge that would hold but isn't near stays out."""
+    member = spark.createDataFrame([(9, i, i) for i in range(n)] + [(8, 100, 0), (8, 102, 1)], "key long, node long, n long")
+    got = components_by_keys(member, F.expr("x.n + y.n > 0"), lambda e: e.where("a > 0 and b - a <= 2 and a < 100"))
+    assert {r.node: r.component for r in got.collect()} == {i: 1 for i in range(1, n)}
+    assert sorted((r.key, r.node) for r in shared_keys(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (2, 2)], "key long, node long")).collect()) == [(2, 1), (2, 2)]

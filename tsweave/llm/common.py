@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to, now and not when the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all that this application has written in the shared folder. Frames that still read it can't be used after."""
     delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

@@ -1,11 +1,11 @@
-"""Connected components of a graph given by its edges, by alternating large-star and small-star steps."""
+"""Connected components of a graph given by its edges, by alternating large-star and small-star steps, and those of items that share keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, new_folder
+from .common import delete, new_folder, release, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -47,3 +47,33 @@ def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     kept = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The distinct rows of keys (key, node, ...) whose key more than one node has."""
+    of_key = Window.partitionBy("key")
+    both = keys.withColumn("_least", F.min("node").over(of_key)).withColumn("_most", F.max("node").over(of_key))
+    return both.where("_least <> _most").drop("_least", "_most").distinct()
+
+
+def components_by_keys(member: DataFrame, near: Column, test) -> DataFrame:
+    """(node, component) of the nodes that are linked to another, of all pairs that share a key, are near and hold.
+
+    member: written (key, node, ...); near: a condition on x and y, two rows of member; test(edges) drops those that don't
+    hold. Each bucket's nodes are first tested against its first one, and then all its pairs that aren't connected yet, so
+    a large group of near items doesn't give the square of its size and no pair is left untested that could connect two
+    components.
+    """
+
+    def pairs(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
+        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr("x.key = y.key")).where(near & F.expr(where))
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    row = F.struct("node", *[c for c in member.columns if c not in ("key", "node")])
+    first = member.groupBy("key").agg(F.min(row).alias("s")).select("key", "s.*")
+    edges = written(test(pairs(first, member, "x.node <> y.node")), "links")
+    labels = written(connected_components(edges), "labels")
+    release(member.sparkSession)
+    own = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = written(test(pairs(own, own, "x.node < y.node and x.component <> y.component")), "links")
+    return labels if more.isEmpty() else connected_components(edges.union(more))

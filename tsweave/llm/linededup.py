@@ -21,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
-from .components import connected_components
+from .common import bounded_batches, release, text_or_empty, written
+from .components import components_by_keys, shared_keys
 from .simhash import mixed
 
 #: Fingerprints no longer choose the candidates: all 64 bits may differ.
@@ -177,26 +177,13 @@ def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
             yield pd.DataFrame({"key": key.view(np.int64), "node": pdf["h"].to_numpy()[own]})
 
     keys = lines.select("h", "coded").mapInPandas(run, "key long, node long")
-    of_key = Window.partitionBy("key")
-    shared = keys.withColumn("least", F.min("node").over(of_key)).withColumn("most", F.max("node").over(of_key)).where("least <> most")
-    return shared.select("key", "node").distinct()
+    return shared_keys(keys)
 
 
-def near_lines(member: DataFrame, test, similarity: float) -> DataFrame:
-    """(node, component) of the lines that are like another. member: written (key, node, n, odd, odd2); test(edges) verifies."""
+def within_edits(similarity: float):
+    """Whether the rows x and y (n, odd, odd2) may be lines of this similarity, by their lengths and parities of words."""
     most = f"cast(greatest(x.n, y.n) * {1 - similarity} + 1e-9 as int)"
-    near = F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most}")
-
-    def pairs(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
-        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr("x.key = y.key")).where(near & F.expr(where))
-        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-    hub = member.groupBy("key").agg(F.min(F.struct("node", "n", "odd", "odd2")).alias("s")).select("key", "s.*")
-    edges = written(test(pairs(hub, member, "x.node <> y.node")), "links")
-    labels = written(connected_components(edges), "labels")
-    own = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = written(test(pairs(own, own, "x.node < y.node and x.component <> y.component")), "links")
-    return labels if more.isEmpty() else connected_components(edges.union(more))
+    return F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most}")
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,15 +214,16 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
     seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines", compression="zstd")
     distinct = written(seen.groupBy("h").agg(F.min("odd").alias("odd"), F.min("odd2").alias("odd2"), F.min("n").alias("words"), F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("n")), "distinct-lines")
     lines = seen.where("coded is not null").select("h", "coded")
-    member = written(bucket_members(lines, similarity), "buckets")
-    member = written(member.join(distinct.select(F.col("h").alias("node"), F.col("words").alias("n"), "odd", "odd2").hint("shuffle_merge"), "node"), "bucket-members")
+    about = distinct.select(F.col("h").alias("node"), F.col("words").alias("n"), "odd", "odd2")
+    member = written(bucket_members(lines, similarity).join(about.hint("shuffle_merge"), "node"), "bucket-members")
+    release(docs.sparkSession)
 
     def test(edges: DataFrame) -> DataFrame:
         edges = written(edges, "line-pairs")
         wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
         return verified(edges, written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes"), similarity)
 
-    label = written(near_lines(member, test, similarity), "line-groups")
+    label = written(components_by_keys(member, within_edits(similarity), test), "line-groups")
     group = label.join(distinct, label.node == distinct.h).groupBy("component").agg(F.min("first").alias("first"))
     first = label.join(group, "component").select(F.col("node").alias("h"), F.col("first").alias("of_group"))
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences
