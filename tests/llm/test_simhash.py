@@ -120,3 +120,39 @@ def test_pairs_of_a_bucket_whose_first_item_is_like_none(spark, n):
     got = components_by_keys(member, F.expr("x.n + y.n > 0"), lambda e: e.where("a > 0 and b - a <= 2 and a < 100"))
     assert {r.node: r.component for r in got.collect()} == {i: 1 for i in range(1, n)}
     assert sorted((r.key, r.node) for r in shared_keys(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (2, 2)], "key long, node long")).collect()) == [(2, 1), (2, 2)]
+
+
+
+def test_near_duplicates_by_exact_jaccard(spark):
+    """Pairs on both sides of the threshold and many items of equal fingerprints of words, against all pairs."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(words) for _ in range(rng.randint(4, 160))]
+        for k in range(4):
+            u = list(t)
+            for _ in range(k):
+                u[rng.randrange(len(u))] = rng.choice(words)
+            texts.append(" ".join(u))
+    for _ in range(40):  # one word over half
+        t = ["|"] * 60
+        for at in rng.sample(range(60), 6):
+            t[at] = rng.choice(words[:12])
+        texts += [" ".join(t), " ".join([*t[1:], rng.choice(words)])]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}

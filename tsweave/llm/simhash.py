@@ -19,14 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
-from .components import connected_components
+from .common import bounded_batches, release, text_or_empty, written
+from .components import components_by_keys, connected_components, shared_keys
 
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
 COLD = 512
 RADIUS = 2
-#: Odd numbers that make further hashes of a hash.
-MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -79,45 +77,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def word_fingerprints(text: str, count: int, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """`count` SimHashes of the words with their repeats, and `width` x 64 SimHash bits of the set of shingles of `size` words."""
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles of `size` words, in order."""
     import xxhash
 
     w = words_of(text)
     if not w:
-        return np.zeros(count, np.uint64), np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(x, 42) for x in w]), ">u8").astype(np.uint64)
-    prints = majority(mixed(h[:, None] * MIXERS[:count]))
     n = max(1, len(h) - size + 1)
     s = np.zeros(n, np.uint64)
     for i in range(min(size, len(h))):
         s = mixed(s + h[i : i + n]) if i else mixed(h[:n])
-    s = np.unique(s)
-    return prints, majority(mixed(s[:, None] * MIXERS[:width]))
+    return np.unique(s)
 
 
 def fingerprints(docs: DataFrame, how, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, prints, sign): how(text) gives both, of each document's whole text."""
+    """(doc_id, prints): how(text) gives the prints of each document's whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [how(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "prints": [x.view(np.int64) for x, _ in found], "sign": [x.view(np.int64) for _, x in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "prints": [x.view(np.int64) for x in found]})
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInPandas(run, "doc_id string, prints array<long>, sign array<long>")
-    return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints", "sign"), "fingerprints")
+    found = rows.mapInPandas(run, "doc_id string, prints array<long>")
+    return written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "prints"), "fingerprints")
 
 
-def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None, signs: DataFrame | None = None, most_apart: int = 0) -> Links:
+def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[int] | None = None) -> Links:
     """What connects items whose fingerprints of the same place in `prints` differ in at most `radius` bits.
 
     items: (node long, prints array<long>). Items of an equal fingerprint are linked to the first of them, and that one
     to the first items of other fingerprints. masks: the bits that each table keeps, if not those of the covering family.
-    signs: (node, sign), with which members of a bucket are only linked where their signs differ in most_apart bits at
-    most; links of equal fingerprints, of buckets of two and of first() in hot buckets are left to a test that follows.
     """
     each = items.select("node", F.posexplode("prints").alias("j", "p"))
     unit = written(each.groupBy("j", "p").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
@@ -128,8 +122,7 @@ def links(items: DataFrame, radius: int = RADIUS, bits: int = 64, masks: list[in
     bucket = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("node").alias("a"), F.max("node").alias("b"))
     bucket = written(bucket.where("n > 1"), "buckets")
     member = rows.join(bucket.where("n > 2").select("key", "n").hint("shuffle_merge"), "key")  # grows with the data: no broadcast
-    member = member.join(signs, "node") if signs is not None else member.withColumn("sign", F.lit(None).cast("array<bigint>"))
-    return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits, most_apart if signs is not None else None)
+    return Links(same, bucket.where("n = 2"), written(member, "bucket-members"), radius, bits)
 
 
 class Links:
@@ -137,29 +130,29 @@ class Links:
 
     first() links each member of a bucket to one near member, if any, and all of a hot neighbourhood to its first one.
     rest(labels) gives every further pair of near members whose components differ, so with it nothing is missed: labels
-    are the components (node, component) that links so far have made, whether all of first() held or a test dropped some.
+    are the components (node, component) that all of first() has made. No test may drop some of first(): of an equal
+    fingerprint only the first item is compared with others.
     """
 
-    def __init__(self, same: DataFrame, twos: DataFrame, member: DataFrame, radius: int, bits: int, most_apart: int | None):
+    def __init__(self, same: DataFrame, twos: DataFrame, member: DataFrame, radius: int, bits: int):
         self.same, self.twos, self.member, self.radius, self.bits = same, twos, member, radius, bits
-        self.alike = "true" if most_apart is None else f"aggregate(zip_with(x.sign, y.sign, (p, q) -> bit_count(p ^ q)), 0, (t, n) -> t + n) <= {most_apart}"
-        self.near = f"(bit_count(x.p ^ y.p) <= {radius} and {self.alike})"
+        self.near = f"bit_count(x.p ^ y.p) <= {radius}"
 
     def first(self) -> DataFrame:
         two = self.twos.where(f"bit_count(p ^ q) <= {self.radius}").select("a", "b")
-        some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "sign")).alias("s"))
+        some = self.member.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node")).alias("s"))
         some = some.select(F.explode(F.expr(f"transform(s, (x, i) -> struct(x.node as a, try_element_at(filter(slice(s, i + 2, {COLD}), y -> {self.near}), 1).node as b))")).alias("e"))
         some = some.select("e.a", "e.b").where("b is not null")
-        hot = self._balls(self.member.select("j", "p", "node", "n", F.lit(None).cast("array<bigint>").alias("sign"), F.col("node").alias("component"))).select(F.array_min("s.node").alias("a"), F.explode("s.node").alias("b"))
+        hot = self._balls(self.member.select("j", "p", "node", "n", F.col("node").alias("component"))).select(F.array_min("s.node").alias("a"), F.explode("s.node").alias("b"))
         return _pairs(self.same.union(two).union(some).union(hot))
 
     def rest(self, labels: DataFrame) -> DataFrame:
         own = self.member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_key = own.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "component", "sign")).alias("s"))
+        mixed_key = own.where(f"n <= {COLD}").groupBy("key").agg(F.collect_list(F.struct("p", "node", "component")).alias("s"))
         mixed_key = mixed_key.where("size(array_distinct(s.component)) > 1")
         some = mixed_key.select(F.explode(F.expr(f"flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, {COLD}), y -> {self.near} and x.component <> y.component), y -> struct(x.node as a, y.node as b))))")).alias("e")).select("e.a", "e.b")
         hot = self._balls(own).where("size(array_distinct(s.component)) > 1")
-        pairs = f"flatten(transform(s, x -> transform(filter(s, y -> y.node > x.node and y.component <> x.component and {self.alike}), y -> struct(x.node as a, y.node as b))))"
+        pairs = "flatten(transform(s, x -> transform(filter(s, y -> y.node > x.node and y.component <> x.component), y -> struct(x.node as a, y.node as b))))"
         return _pairs(some.union(hot.select(F.explode(F.expr(pairs)).alias("e")).select("e.a", "e.b")))
 
     def _balls(self, member: DataFrame) -> DataFrame:
@@ -167,9 +160,9 @@ class Links:
         if self.radius != 2:
             raise ValueError("hot buckets are searched for a radius of two")
         flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(self.bits)])
-        hot = member.where(f"n > {COLD}").select("j", "p", "node", "component", "sign").distinct()
+        hot = member.where(f"n > {COLD}").select("j", "p", "node", "component").distinct()
         z = F.explode(F.transform(flips, lambda m: F.col("p").bitwiseXOR(m))).alias("z")
-        balls = hot.select("j", "node", "component", "sign", z).groupBy("j", "z").agg(F.collect_list(F.struct("node", "component", "sign")).alias("s"))
+        balls = hot.select("j", "node", "component", z).groupBy("j", "z").agg(F.collect_list(F.struct("node", "component")).alias("s"))
         return balls.where("size(s) > 1")
 
 
@@ -177,36 +170,23 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components_of(found: Links, test=None) -> DataFrame:
-    """(node, component) by both rounds of links; test(edges) drops those that don't hold."""
-    test = test or (lambda edges: edges)
-    edges = written(test(found.first()), "links")
+def components_of(found: Links) -> DataFrame:
+    """(node, component) by both rounds of links."""
+    edges = written(found.first(), "links")
     labels = written(connected_components(edges), "labels")
-    more = written(test(found.rest(labels)), "links")
+    more = written(found.rest(labels), "links")
     if more.isEmpty():
         return labels
     return connected_components(edges.union(more))
 
 
-def grouped(prints: DataFrame, radius: int = RADIUS, most_apart: int | None = None) -> DataFrame:
-    """prints: written (doc_id, prints, sign). Adds component_id, the smallest doc_id that links reach.
-
-    most_apart: links whose signs differ in more bits than this are dropped first.
-    """
-    items = written(prints.groupBy("prints", "sign").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "print-classes")
-    sign = items.select("node", "sign")
-
-    def test(edges: DataFrame) -> DataFrame:
-        if most_apart is None:
-            return edges
-        x, y = (sign.select(F.col("node").alias(c), F.col("sign").alias(f"s{c}")) for c in "ab")
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-        return edges.join(x, "a").join(y, "b").where(apart <= most_apart).select("a", "b")
-
-    label = components_of(links(items.where("node is not null").select("node", "prints"), radius, signs=sign if most_apart is not None else None, most_apart=most_apart or 0), test)
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: written (doc_id, prints). Adds component_id, the smallest doc_id that links reach."""
+    items = written(prints.groupBy("prints").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "print-classes")
+    label = components_of(links(items.where("node is not null").select("node", "prints"), radius))
     label = label.withColumnRenamed("component", "component_id")
-    item = items.join(label, "node", "left").select("prints", "sign", F.coalesce("component_id", "node").alias("component_id"))
-    return prints.join(item, ["prints", "sign"])
+    item = items.join(label, "node", "left").select("prints", F.coalesce("component_id", "node").alias("component_id"))
+    return prints.join(item, "prints")
 
 
 def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,35 +198,72 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIU
     """
 
     def how(text: str):
-        return shingle_fingerprint(text, shingle), np.zeros(0, np.uint64)
+        return shingle_fingerprint(text, shingle)
 
     found = grouped(fingerprints(docs, how, id_col=id_col, text_col=text_col), radius)
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Eight SimHashes of single words find the candidates, and 512 SimHash bits of the set of five-word shingles judge them.
-WORD_PRINTS, SIGN_WORDS = 8, 8
-#: How far under the asked similarity an estimate may lie: about its standard error there.
-SLACK = 0.02
-
-
-def most_apart(similarity: float, bits: int) -> int:
-    """The bits in which SimHashes of two sets of this Jaccard similarity differ, as expected."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether s has an odd number of hashes i, for 256 places or the power of two from twice the number on."""
+    places = max(256, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 256
+    return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).view(np.uint64)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every document: texts whose sets of five-word shingles are similar, by estimate, are linked.
+    """doc_id, component_id of every document: texts whose sets of five-word shingles have this Jaccard similarity are linked.
 
-    Two documents are candidates where one of eight SimHashes of their words (a word's weight is its count) differs in at
-    most two bits: a text of 0.8 or more changes few words, but many shingles, so words lead to it far more surely.
-    Their similarity is then estimated from 512 SimHash bits of the shingles, with a standard error of about 0.02 at 0.8,
-    and may fall short of the asked one by as much.
+    Sets of n and m shingles of the similarity t share at least t * max(n, m). So with all shingles in one order, by hash,
+    the first n - ceil(t * n) + 1 of the one and those of the other share a shingle: that finds every pair. Each is then
+    verified by the two whole sets, where the parities of the sets let it reach the similarity: a shingle that only one
+    set has flips one of them. Texts of equal sets are one item.
     Defined results for odd rows are those of simhash_components().
     """
 
-    def how(text: str):
-        return word_fingerprints(text, WORD_PRINTS, shingle, SIGN_WORDS)
+    def hashed(text: str) -> tuple[np.ndarray, int]:
+        import xxhash
 
-    found = grouped(fingerprints(docs, how, id_col=id_col, text_col=text_col), RADIUS, most_apart(similarity - SLACK, 64 * SIGN_WORDS))
-    return found.select("doc_id", "component_id")
+        s = shingle_set(text, shingle)
+        return s, xxhash.xxh64_intdigest(s.tobytes(), 42)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [hashed(t) for t in pdf["text"]]
+            node = np.array([x for _, x in found], np.uint64).view(np.int64)
+            keys = [s[: len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1].view(np.int64) for s, _ in found]
+            odd = [parities(s).view(np.int64) for s, _ in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": node, "n": [len(s) for s, _ in found], "odd": odd, "keys": keys})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [hashed(t) for t in pdf["text"]]
+            yield pd.DataFrame({"node": np.array([x for _, x in found], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s, _ in found]})
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    found = texts.mapInPandas(heads, "doc_id string, node long, n int, odd array<long>, keys array<long>")
+    found = written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-heads")
+    items = written(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("odd").alias("odd")), "shingle-sets")
+    keys = found.join(items, ["node", "doc_id"], "left_semi").select(F.explode("keys").alias("key"), "node", "n")
+    member = written(shared_keys(keys), "shared-shingles")
+    release(docs.sparkSession)
+
+    def test(edges: DataFrame) -> DataFrame:
+        x, y = (items.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+        half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
+        apart = F.expr(f"aggregate(zip_with({half.format('oa', 'ob')}, {half.format('ob', 'oa')}, (p, q) -> bit_count(p ^ q)), 0, (t, i) -> t + i)")
+        edges = edges.join(x, "a").join(y, "b").where(apart <= F.expr(f"{1 - similarity} / {1 + similarity} * (na + nb) + 1e-9")).select("a", "b")
+        edges = written(edges, "document-pairs")
+        wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        ids = items.join(wanted, "node", "left_semi").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        whole = texts.join(ids, "doc_id", "left_semi").mapInPandas(sets, "node long, shingles array<long>")
+        whole = written(whole.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        x, y = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        both = edges.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+        return both.where(f"shared >= {similarity} * (size(sa) + size(sb) - shared) - 1e-9").select("a", "b")
+
+    near = F.expr(f"least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9")
+    label = written(components_by_keys(member, near, test), "document-groups")
+    item = items.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = item.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.select("doc_id", "node").join(item.join(first, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
