@@ -83,6 +83,28 @@ def test_odd_rows(spark):
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_clashing_names(spark):
+    """An item of fewer than five words is found where its words stand in a row."""
+    docs = spark.createDataFrame([(1, "so the Quick, fox ran", 1, "x"), (2, "quick red fox", 1, "x"), (3, "fox", 1, "x"), (4, "a b c d e f g", 1, "x"), (5, "quick fox quick fox", 1, "x")], "doc_id long, text string, w int, start string")
+    bench = spark.createDataFrame([(1, "quick fox"), (2, "fox"), (3, "b c d e"), (4, "c d e f g"), (5, "a"), (6, " .")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity) for r in D.leaks(docs, bench).collect())
+    assert got == [(1, 1, 2, 2, 1.0), (1, 2, 3, 1, 1.0), (2, 2, 2, 1, 1.0), (3, 2, 0, 1, 1.0), (4, 3, 1, 4, 1.0), (4, 4, 2, 5, 1.0), (4, 5, 0, 1, 1.0), (5, 1, 0, 2, 1.0), (5, 2, 1, 1, 1.0)]
+
+
+def test_long_documents_without_a_broadcast(spark, monkeypatch):
+    """Documents of 20,000 words, with the benchmark joined by a shuffle, give what the broadcast gives."""
+    rng = random.Random(9)
+    item = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(["the", "of", "a", *item]) for _ in range(20_000))
+    docs = spark.createDataFrame([(i, text() + " " + " ".join(item)) for i in range(4)] + [(9, text())], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = []
+    for most in (D.MOST_BROADCAST, 0):
+        monkeypatch.setattr(D, "MOST_BROADCAST", most)
+        found.append(sorted(tuple(r) for r in D.leaks(docs, bench).collect()))
+    assert found[0] == found[1] and [(r[0], r[2]) for r in found[0]] == [(i, 20_000) for i in range(4)]
+
+
 def test_main_path_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     plan = D.leaks(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
