@@ -48,3 +48,25 @@ def test_long_chain_ties_and_nulls(spark):
     assert got == {1: 300, None: 1, 2: 2}
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.read_back(C.conversations(C.from_turns(empty))).count() == 0
+
+
+def test_many_leaves_branches_and_ties(spark):
+    """A tree of 50,000 leaves, and a chain with a leaf at each message, whose paths together would be 2,000,000 rows."""
+    rows = [("star", 0, None, "user", "hub", 1.0)] + [("star", i, 0, "assistant", f"t{i}", float(i % 7)) for i in range(1, 50_001)]
+    for i in range(2_000):
+        rows += [("comb", 2 * i, 2 * i - 2 if i else None, "user", f"c{i}", 0.0), ("comb", 2 * i + 1, 2 * i, "assistant", f"l{i}", 0.0)]
+    rows += [("tie", 0, None, "user", "a", None), ("tie", 1, 0, "assistant", "b", 2.0), ("tie", 2, 0, "assistant", "c", 2.0), ("tie", 2, 0, "assistant", "d", 9.0)]
+    rows += [(None, 1, None, "user", "no tree", 1.0), ("none", None, None, "user", "no node", 1.0)]
+    messages = spark.createDataFrame([(*r, "x") for r in rows], "tree string, node long, parent long, role string, text string, score double, leaf string")
+    got = {}
+    for r in C.conversations(messages, top=2).collect():
+        got.setdefault(r.tree, []).append((r["rank"], r.leaf, r.score, [t for _, t in C.parse_turns(r.formatted)]))
+    assert sorted(got["star"]) == [(1, 6, 7.0, ["hub", "t6"]), (2, 13, 7.0, ["hub", "t13"])]
+    assert sorted(got["comb"]) == [(1, 1, 0.0, ["c0", "l0"]), (2, 3, 0.0, ["c0", "c1", "l1"])]
+    assert sorted(got["tie"]) == [(1, 1, 2.0, ["a", "b"]), (2, 2, 2.0, ["a", "c"])] and set(got) == {"star", "comb", "tie"}
+
+
+def test_very_long_texts(spark):
+    text = "</s>[INST] \\ é" * 200_000
+    found = C.read_back(C.conversations(C.from_turns(spark.createDataFrame([(1, 0, "assistant", text), (1, 1, None, None)], "conv_id long, turn long, role string, text string")))).collect()
+    assert [(r.n_turns, r.loss_chars) for r in found] == [(2, len(text))]

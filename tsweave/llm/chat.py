@@ -1,8 +1,8 @@
 """Operator 10: conversations from reply trees.
 
-Messages are nodes (tree, node, parent, role, text, score). From every leaf, self-joins climb to the root
-by 1, 2, 4 and so on messages at a time, so that each root-to-leaf path is a few narrow rows; a tree's paths are ranked by the sum of their scores, and the
-best are formatted, one conversation each.
+Messages are nodes (tree, node, parent, role, text, score). Self-joins climb from every message by 1, 2, 4 and so on
+messages at a time and add up scores on the way, so each leaf gets its path's score in one number. A tree's paths are
+ranked by it, and only the best are then written out, by the same climbs, and formatted, one conversation each.
 
 A turn is formatted as  <s>[INST] role [/INST] text</s>  and the next follows at once. In roles and texts, a backslash is
 doubled and each control string gets one backslash after its first character; so no control string is left in them, and
@@ -56,44 +56,51 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in found]
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, step): every message of every path, its leaf at step 0. nodes: (tree, node, parent, n).
+def climbs(nodes: DataFrame) -> list[DataFrame]:
+    """Written tables (tree, node, up, total). In the k-th, counted from 0, up is the message 2^k above, null past the root.
 
-    A message whose parent is null or missing is a root. n is the tree's count of messages: a path of more is in a cycle.
+    nodes: (tree, node, parent, score), a node once. total: the sum of the scores from node on that lie below up. After
+    the last table, a node that still has an up has no root: it is in a cycle or answers one. A message whose
+    parent is null or missing is a root.
     """
-    inner = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
-    found = written(nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("step"), "n"), "path-steps")
-    jump = nodes.select("tree", "node", F.col("parent").alias("up")).where("up is not null")
-    jump = written(jump.join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi"), "jumps")
-    reach = 1  # found has all steps below it, and jump goes up by it
-    while True:
-        more = written(found.join(jump, ["tree", "node"]).where(f"step + {reach} < n").select("tree", "leaf", F.col("up").alias("node"), (F.col("step") + reach).alias("step"), "n"), "path-steps")
+    most = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    inner = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"))
+    inner = inner.join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi").select("tree", "node", "up", "total")
+    roots = nodes.select("tree", "node", F.lit(None).cast("long").alias("up"), F.col("score").alias("total")).join(inner, ["tree", "node"], "left_anti")
+    tables = [written(inner.union(roots), "climbs")]
+    while 1 << len(tables) - 1 < most:
+        here = tables[-1]
+        more = here.where("up is not null")
         if more.isEmpty():
-            return found.drop("n")
-        found = found.union(more)
-        further = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
-        jump = written(jump.join(further, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "jumps")
-        reach *= 2
+            break
+        above = here.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
+        more = more.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        tables.append(written(here.where("up is null").union(more), "climbs"))
+    return tables
 
 
 def conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, rank, score, formatted, mask) of the `top` best paths of each tree.
 
     messages: tree string, node long, parent long, role, text, score. Ties of score go to the smaller leaf. Null roles
-    and texts are empty, null scores 0; messages in a cycle are in no path; an empty table gives no rows; further
-    columns are not read.
+    and texts are empty, null scores 0; of rows of one tree and node the least by parent, role, text and score counts;
+    rows without tree or node are none; messages in a cycle, or that answer one, are in no path; an empty table gives no
+    rows; further columns are not read.
     """
-    m = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    m = written(m.where("tree is not null and node is not null"), "messages")
-    size = m.groupBy("tree").agg(F.count("*").alias("n"))
-    step = paths(m.select("tree", "node", "parent").join(size, "tree"))
-    root = m.select("tree", "node", "parent").join(m.select("tree", F.col("node").alias("parent")).distinct(), ["tree", "parent"], "left_anti").select("tree", "node")
-    whole = step.join(m.select("tree", "node", "score"), ["tree", "node"])
-    score = whole.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-    rooted = step.join(root, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    score = score.join(rooted, ["tree", "leaf"], "left_semi").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    turn = step.join(score, ["tree", "leaf"]).join(m.select("tree", "node", "role", "text"), ["tree", "node"])
+    m = messages.select("tree", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    m = m.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+    m = written(m.select("tree", "node", "m.*"), "messages")
+    steps = climbs(m.select("tree", "node", "parent", "score"))
+    inner = m.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaf = steps[-1].where("up is null").join(inner, ["tree", "node"], "left_anti")
+    best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
+    leaf = leaf.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    leaf = written(leaf.select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("score")), "best-paths")
+    step = leaf.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("step"))
+    for k, climb in enumerate(steps):  # step has all that lie less than 2^k above their leaf
+        more = step.join(climb.where("up is not null").select("tree", "node", "up"), ["tree", "node"])
+        step = written(step.union(more.select("tree", "leaf", F.col("up").alias("node"), (F.col("step") + (1 << k)).alias("step"))), "path-steps")
+    turn = step.join(leaf, ["tree", "leaf"]).join(m.select("tree", "node", "role", "text"), ["tree", "node"])
     path = turn.groupBy("tree", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("step")).alias("at"), "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
