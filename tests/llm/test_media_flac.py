@@ -93,3 +93,25 @@ def test_texts_as_media(spark):
     blocks = media.pcm_blocks(stored, "doc_id").where("doc_id = 4").orderBy("sample_offset").collect()
     assert len(blocks) > 1 and flac.BYTE[np.frombuffer(b"".join(r.pcm for r in blocks), np.uint8)].tobytes().rstrip(b"\0").decode() == rows[3][1]
     assert media.media_features(media.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_features_are_those_of_the_whole_payload_and_blocks_can_be_sought(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    texts = ["", None, "short", "".join(map(chr, rng.integers(32, 500, 30_000))), "a" * 64, "short"]
+    stored = media.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id: r for r in media.media_features(stored).collect()}
+    blocks = media.pcm_blocks(stored, "doc_id")
+    for i, t in enumerate(texts):
+        payload = media.padded(t or "")
+        assert found[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and found[i].payload_bytes == len(payload)
+        pcm = b"".join(r.pcm for r in blocks.where(f"doc_id = {i}").orderBy("sample_offset").collect())
+        x = np.frombuffer(pcm, np.int8).astype(int)
+        assert flac.BYTE[np.frombuffer(pcm, np.uint8)].tobytes() == payload
+        want = f"square={int((x * x).sum()) // len(x)};crossings={int(np.count_nonzero(np.diff(np.signbit(x))))};low={x.min()};high={x.max()};"
+        assert found[i].feature.startswith(want)
+        for first, end in ((0, 1), (10, 64), (4_000, 9_000), (len(x) - 1, len(x) + 50), (len(x), len(x) + 9)):
+            cut = media.between(blocks.where(f"doc_id = {i}"), first, end).orderBy("sample_offset").collect()
+            assert b"".join(r.pcm for r in cut) == pcm[first:end] and all(r.n_samples == len(r.pcm) and r.sample_offset >= first for r in cut)
+    assert found[2].feature == found[5].feature

@@ -74,27 +74,71 @@ def pcm_blocks(media: DataFrame, *keys: str) -> DataFrame:
     return found.select(*[F.col(k).cast(media.schema[k].dataType).alias(k) for k in keys], "block", "sample_offset", "n_samples", "pcm")
 
 
+def between(blocks: DataFrame, first: int, end: int) -> DataFrame:
+    """The rows of blocks that hold samples from `first` to before `end`, with these samples alone: a seek, by offsets."""
+    held = blocks.where((F.col("sample_offset") < end) & (F.col("sample_offset") + F.col("n_samples") > first))
+    skip = F.greatest(F.lit(first) - F.col("sample_offset"), F.lit(0)).cast("int")
+    n = (F.least(F.lit(end), F.col("sample_offset") + F.col("n_samples")) - F.col("sample_offset") - skip).cast("int")
+    held = held.withColumn("_skip", skip).withColumn("_n", n)
+    held = held.withColumn("pcm", F.substring("pcm", F.col("_skip") + 1, F.col("_n")))
+    return held.withColumn("sample_offset", F.col("sample_offset") + F.col("_skip")).withColumn("n_samples", F.col("_n")).drop("_skip", "_n")
+
+
+class _Sums:
+    """What the blocks of one stream amount to, as they come."""
+
+    def __init__(self, own: tuple):
+        self.own, self.hash, self.tail = own, hashlib.sha256(), b""
+        self.n = self.square = self.crossings = self.blocks = self.low = self.high = 0
+        self.sign = None
+
+    def add(self, offset: int, pcm: bytes) -> None:
+        if offset != self.n:
+            raise flac.Broken(f"a block starts at sample {offset}, not at {self.n}")
+        x = np.frombuffer(pcm, np.int8)
+        payload = flac.BYTE[x.view(np.uint8)].tobytes()
+        self.hash.update(payload)
+        self.tail = (self.tail + payload[-UNIT:])[-UNIT:]
+        wide, sign = x.astype(np.int32), np.signbit(x)
+        low, high = int(wide.min()), int(wide.max())
+        self.low, self.high = (min(self.low, low), max(self.high, high)) if self.n else (low, high)
+        self.crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + int(self.n > 0 and bool(sign[0]) != self.sign)
+        self.sign, self.n = bool(sign[-1]), self.n + len(x)
+        self.square += int((wide * wide).sum(dtype=np.int64))
+        self.blocks += 1
+
+    def row(self) -> tuple:
+        feature = f"square={self.square // self.n};crossings={self.crossings};low={self.low};high={self.high};blocks={self.blocks}"
+        doc, n_bytes, media_bytes, media_sha256 = self.own
+        return doc, n_bytes, self.n, self.hash.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, feature
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """What the stored streams hold: payload, checksums, and a feature of the samples (mean square, zero crossings, peaks).
 
-    Equal texts give equal values. Null texts count as empty, and an empty text is 64 zero bytes; rows with a null or
-    repeated identifier are stored each; an empty table gives no rows; other columns are not read.
+    The streams are read as pcm_blocks(), whose blocks follow one another in a task, and added up block by block, so only
+    a block is held; each must start where the one before ends. Equal texts give equal values. Null texts count as empty,
+    and an empty text is 64 zero bytes; rows with a null or repeated identifier are stored each; an empty table gives no
+    rows; other columns are not read.
     """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: _Sums | None = None
         for pdf in batches:
-            for some in _some(list(pdf.itertuples(index=False)), lambda x: len(x.media)):
-                rows = []
-                for own, blocks in zip(some, flac.decode([x.media for x in some]), strict=True):
-                    pcm = np.concatenate([x for _, x in blocks]).astype(np.int8)
-                    payload = flac.BYTE[pcm.view(np.uint8)].tobytes()
-                    wide = pcm.astype(np.int32)
-                    crossings = int(np.count_nonzero(np.diff(np.signbit(pcm))))
-                    feature = f"square={int((wide * wide).sum(dtype=np.int64)) // len(pcm)};crossings={crossings};low={wide.min()};high={wide.max()};blocks={len(blocks)}"
-                    rows.append((own.doc_id, own.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(own.media), hashlib.sha256(own.media).hexdigest(), feature))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    bounded_batches(media.sparkSession)
-    kept = media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media")
-    found = kept.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            rows = []
+            for doc, n_bytes, media_bytes, digest, block, offset, pcm in pdf.itertuples(index=False):
+                if block == 0:
+                    if sums:
+                        rows.append(sums.row())
+                    sums = _Sums((doc, n_bytes, media_bytes, digest))
+                sums.add(offset, pcm)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+        if sums:
+            yield pd.DataFrame([sums.row()], columns=names)
+
+    own = media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    blocks = pcm_blocks(own, "doc_id", "n_bytes", "media_bytes", "media_sha256").select("doc_id", "n_bytes", "media_bytes", "media_sha256", "block", "sample_offset", "pcm")
+    found = blocks.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
