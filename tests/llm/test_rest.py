@@ -65,6 +65,49 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_scores_against_the_plain_forward_pass():
+    """Averaged n-gram vectors, averaged words, linear softmax: as the model is defined, one text at a time."""
+    rng = np.random.default_rng(2)
+    plain = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(80)]
+    texts = [" ".join(rng.choice(plain, rng.integers(1, 30))) for _ in range(120)]
+    y = np.array([i % 3 == 0 for i in range(120)], np.int64)
+    vectors, soft, bias = toxicity.softmax_of(toxicity._features(texts), y)
+    scorer = toxicity.Scorer(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+    odd = ["", "  ", "Zebra, zebra! a", "é" * 70 + " b", texts[0] + " unseen words"]
+    for t, got in zip(texts + odd, scorer.scores(texts + odd), strict=True):
+        words = sorted({w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in t.lower()).split(" ") if w})
+        mean = np.zeros(toxicity.WIDTH)
+        for w in words:
+            buckets, _ = toxicity.subwords([w])
+            mean += vectors[buckets].astype(float).mean(0)
+        mean /= len(words) + toxicity.EMPTY_WORDS
+        z = mean @ soft + bias
+        assert abs(got - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+    # a word has every n-gram of its marked form, and itself
+    buckets, of = toxicity.subwords(["abcd"])
+    assert len(buckets) == sum(max(0, 6 - n + 1) for n in toxicity.NGRAMS) + 1 and set(of.tolist()) == {0}
+
+
+def test_toxicity_trains_on_whole_long_texts(spark):
+    """What marks a long text stands at its end."""
+    docs = [(i, "plain words here " * 3_000 + ("zorkwug " * 400 if i % 2 else "")) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_many_rows_alike_do_not_fill_one_shard_task(spark):
+    docs = spark.createDataFrame([(None, "same")] * 4000 + [(i, "x" * i) for i in range(50)], "doc_id long, text string").repartition(4)
+    got = sharding.byte_shards(docs, 24).collect()
+    total = {}
+    for r in got:
+        total.setdefault(r.shard, []).append(r)
+    assert len(got) == 4050 and len(total) == 24
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in total.values())
+    sizes = [sum(r["size"] for r in rows) for rows in total.values()]
+    assert max(sizes) - min(sizes) < 200
+
+
 def brute_cosine(text, template, templates):
     bags = [licenses.words_of(t) for _, t in templates]
     idf = lambda w: np.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1
@@ -117,6 +160,26 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in rows}
 
 
+def test_pipeline_judges_rows_not_identifiers(spark, tmp_path):
+    """Rows of one doc_id, null ones too, go only for what is in them; columns of any name do no harm."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = " ".join(f"item{i}" for i in range(20))
+    rng = np.random.default_rng(1)
+    free = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(8)]
+    near = free[0].split()
+    near[30] = "other"
+    rows = [(1, free[0]), (1, free[1]), (1, free[2]), (1, free[2]), (2, " ".join(near)), (None, free[3]), (None, free[4]), (None, free[4]), (3, f"{free[5]} {item} end"), (3, free[6]), (None, f"{free[7]} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "a", "b", "c") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, _gone string, row string")
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = lambda f: sorted(((r.doc_id, r.text) for r in f(spark, docs, sf).collect()), key=str)
+    assert kept(pipeline.drop_toxic) == sorted(rows, key=str)
+    assert kept(pipeline.drop_leaks) == sorted((r for r in rows if item not in r[1]), key=str)
+    assert kept(pipeline.drop_near_duplicates) == sorted({r for r in rows if r[0] != 2}, key=str)
+    assert len(kept(pipeline.drop_repeated_lines)) == len(rows)
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     schema = "doc_id long, text string, lang string, source string, n_chars long"

@@ -26,7 +26,9 @@ def byte_shards(docs: DataFrame, shards: int = 24, *, overhead: int = OVERHEAD,
     spark = docs.sparkSession
     text = F.encode(text_or_empty(text_col), "UTF-8")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
+    # rows alike in all that orders them are dealt by a hash of their place, so that many don't fill one partition
+    rows = rows.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "deal").drop("deal")
     rows = written(rows.withColumn("pid", F.spark_partition_id()), "sizes")
     starts, total, count = [], 0, 0
     for r in rows.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("pid").collect():

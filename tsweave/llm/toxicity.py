@@ -24,8 +24,8 @@ from .common import bounded_batches, text_or_empty
 #: N-grams of so many characters; buckets for their hashes, which 16 bits can number; width of a vector.
 NGRAMS = (3, 4, 5, 6)
 BUCKETS, WIDTH = 1 << 16, 8
-#: The training sample: the labelled documents of lowest hash, so many of each class, each of so many characters at most.
-PER_CLASS, LONGEST = 2_000, 20_000
+#: The training sample: the labelled documents of lowest hash, so many of each class.
+PER_CLASS = 2_000
 EPOCHS, BATCH, RATE, SEED = 10, 32, 1.0, 7
 #: A document's mean is over its distinct words and so many words of vector zero, so that a few words alone don't decide.
 EMPTY_WORDS = 8
@@ -96,13 +96,9 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), bucket, np.concatenate([*weights, np.zeros(0, np.float32)])
 
 
-def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray, float]:
-    """(number of each bucket, bias). share: of label 1 among all labelled rows; the bias goes half the way to it."""
-    y = np.array(labels, np.int64)
-    if not len(y) or y.min() == y.max():
-        only = 0.0 if not len(y) or not y.max() else 1.0
-        return np.zeros(BUCKETS, np.float32), 8.0 * only - 4.0
-    starts, bucket, weight = _features(texts)
+def softmax_of(features: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector of each bucket, weights of the two classes, their biases), trained on sparse rows and their labels."""
+    starts, bucket, weight = features
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / 1000
     soft = rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32)
@@ -128,6 +124,16 @@ def train(texts: list[str], labels: list[int], share: float) -> tuple[np.ndarray
             for x, g, q, at_rows in zip(params, (dense.T @ (p @ soft.T), mean.T @ p, p.sum(0)), squares, (seen, ..., ...), strict=True):
                 q[at_rows] += g * g
                 x[at_rows] -= RATE * g / (np.sqrt(q[at_rows]) + 1e-4)
+    return vectors, soft, bias
+
+
+def train(features: tuple[np.ndarray, np.ndarray, np.ndarray], labels: list[int], share: float) -> tuple[np.ndarray, float]:
+    """(number of each bucket, bias). share: of label 1 among all labelled rows; the bias goes half the way to it."""
+    y = np.array(labels, np.int64)
+    if not len(y) or y.min() == y.max():
+        only = 0.0 if not len(y) or not y.max() else 1.0
+        return np.zeros(BUCKETS, np.float32), 8.0 * only - 4.0
+    vectors, soft, bias = softmax_of(features, y)
     number = vectors @ (soft[:, 1] - soft[:, 0])
     sampled = y.mean()
     share = min(max(share, 1e-6), 1 - 1e-6)
@@ -141,27 +147,38 @@ def in_fold(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Train on the rows that aren't held out; the sample is bounded by per_class and LONGEST, whatever the input's size."""
+    """Train on the rows that aren't held out; the sample is bounded by per_class, whatever the input's size.
+
+    Whole texts count. A text goes to the training task as its sparse row, which has at most BUCKETS numbers.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(~in_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r.toxic > 0): r.n for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     known = known.withColumn("h", F.xxhash64("doc_id"))
     sample = known.where("toxic <= 0").orderBy("h").limit(per_class).union(known.where("toxic > 0").orderBy("h").limit(per_class))
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= LONGEST)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
 
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_features([t]) for t in pdf["text"]]
+            yield pdf[["doc_id", "toxic"]].assign(h=pdf["h"], buckets=[b.tobytes() for _, b, _ in found], weights=[w.tobytes() for _, _, w in found])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if not rows:
             return
-        rows = pd.concat(rows)
-        rows = rows.sort_values(["doc_id", "text"])
-        number, bias = train(rows["text"].tolist(), (rows["toxic"] > 0).astype(int).tolist(), share)
+        rows = pd.concat(rows).sort_values(["doc_id", "h"])
+        bucket = np.frombuffer(b"".join(rows["buckets"]), np.uint16)
+        weight = np.frombuffer(b"".join(rows["weights"]), np.float32)
+        starts = np.concatenate(([0], np.cumsum([len(b) // 2 for b in rows["buckets"]])))
+        number, bias = train((starts, bucket, weight), (rows["toxic"] > 0).astype(int).tolist(), share)
         yield pd.DataFrame({"number": [number.astype("<f4").tobytes()], "bias": [bias]})
 
-    rows = short.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
+    rows = whole.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInPandas(sparse, "doc_id long, toxic int, h long, buckets binary, weights binary")
     found = rows.repartition(1).mapInPandas(run, "number binary, bias double").first()
-    return (np.frombuffer(found.number, "<f4"), found.bias) if found else train([], [], 0.0)
+    return (np.frombuffer(found.number, "<f4"), found.bias) if found else train(_features([]), [], 0.0)
 
 
 class Scorer:
@@ -190,8 +207,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -50, 50)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, by a model fitted on the labels that aren't held out.
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """id_col, held_out, score, predicted of every document, by a model fitted on the labels that aren't held out.
+
+    Labels are of doc_id and folds go by it; id_col, an integer, is what names a row in the result.
 
     Defined results: null and empty texts score what the bias alone gives; a label that is null or of no document is not
     used, and of several labels of a document the largest counts; without labels of both classes all score alike; rows
@@ -211,9 +230,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out.append(scorer.scores(texts[at:to]))
                 at = to
             score = np.concatenate([*out, np.zeros(0)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score})
+            yield pdf[["doc_id", "name"]].assign(score=score)
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_or_empty().alias("text"))
-    found = rows.mapInPandas(run, "doc_id string, score double").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
-    return found.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col(id_col).cast("long").cast("string").alias("name"), text_or_empty().alias("text"))
+    found = rows.mapInPandas(run, "doc_id string, name string, score double")
+    return found.select(F.col("name").cast("long").alias(id_col), in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
