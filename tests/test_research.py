@@ -174,3 +174,60 @@ def test_symbol_names(spark):
     assert (r.symbol, r.reason) == ("xau.usd", "normalized_name")
     r = symbols.resolve(c.where("position < 2"), "XAUUSD").first()
     assert (r.symbol, r.reason) == ("GOLD", "alias")
+
+
+def test_one_long_series_as_one_key(spark):
+    """Without keys, stretches of days give what one window gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t = np.unique(rng.integers(-3, 40, 300) * 43_200_000_000 + rng.integers(0, 5, 300))
+    rows = [(int(x), float(rng.integers(-1, 2)), float(rng.normal()), float(rng.random() / 10), "k", float(rng.integers(0, 9))) for x in t]
+    df = spark.createDataFrame(rows, "t long, signal double, gross_edge double, cost double, k string, v double")
+    plain = lambda f: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f.collect())
+    for convention in backtest.CONVENTIONS:
+        assert plain(backtest.trades(df, convention=convention)) == plain(backtest.trades(df, convention=convention, keys=("k",)).drop("k"))
+    made = backtest.trades(df)
+    assert plain(backtest.equity(made)) == plain(backtest.equity(made.withColumn("k", F.lit(1)), ("k",)).drop("k"))
+    assert plain(backtest.numbered(df).select("t", "pos")) == [(int(x), i) for i, x in enumerate(t)]
+    a, b = (stats.correlation(df, "v", "gross_edge", by).first() for by in ((), ("k",)))
+    assert (a.n, round(a.pearson, 9), round(a.spearman, 9)) == (b.n, round(b.pearson, 9), round(b.spearman, 9))
+    flags = spark.createDataFrame([(i, i + 65_530) for i in range(20) if i not in (3, 15)], "t long, bar long")
+    assert tuple(coverage.longest_run(flags).first()) == (4, 14, 11)
+    last = [r.t for r in backtest.unsettled(df.withColumn("signal", F.lit(1.0))).collect()]
+    assert last == [int(t[-1])]
+
+
+def test_running_quantiles_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for share in (0.0, 0.2, 0.5, 0.8, 1.0):
+        q, seen = stats.RunningQuantile(share), []
+        for x in np.round(rng.normal(size=400), 1).tolist():
+            seen.append(x)
+            assert abs(q.add(x) - np.quantile(seen, share)) < 1e-12
+
+
+def test_monte_carlo_by_joins(spark, monkeypatch):
+    made = spark.createDataFrame([(i * 10**9, 0.01 + i % 3 / 1000, 0.001 + i % 5 / 10000) for i in range(57)], "execution_t long, gross_edge double, cost double")
+    for rotate in (False, True):
+        found = []
+        for most in (10**6, 0):
+            monkeypatch.setattr(montecarlo, "MOST_WHOLE", most)
+            found.append({(r.scenario, r.simulation): (round(r.total, 9), round(r.drawdown, 9), round(r.win_rate, 9), r.trades) for r in montecarlo.simulate(made, 9, 4, 11, rotate=rotate).collect()})
+        assert found[0] == found[1] and len(found[0]) == 45
+
+
+def test_monte_carlo_refuses(spark):
+    from tsweave.errors import InsufficientDataError
+
+    with pytest.raises(InsufficientDataError):
+        montecarlo.simulate(spark.createDataFrame([], "execution_t long, gross_edge double, cost double"), 3, 1, 1)
+    with pytest.raises(DataQualityError):
+        montecarlo.simulate(spark.createDataFrame([(1, 0.1, -0.1)], "execution_t long, gross_edge double, cost double"), 3, 1, 1)
+
+
+def test_the_last_of_equal_normalised_names(spark):
+    c = spark.createDataFrame([("EUR.USD", 0), ("eurusd", 1)], "symbol string, position int")
+    assert symbols.resolve(c, "EURUSD").first().symbol == "eurusd"

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, DataQualityError
+from . import stretches
 
 CONVENTIONS = {"earned_over_following_bar": 1, "realised_at_bar": 0}
 
 
+def grid_differences(signals: DataFrame, outcomes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row only_left, only_right: how many rows of either have no match on (keys, t)."""
+    on = [*keys, "t"]
+    only = lambda x, y, name: x.join(y.select(*on), on, "left_anti").agg(F.count("*").alias(name))
+    return only(signals, outcomes, "only_left").crossJoin(only(outcomes, signals, "only_right"))
+
+
 def one_grid(signals: DataFrame, outcomes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """signals joined to outcomes on (keys, t), which must be the same rows: unique, no null t, none on one side only."""
     on = [*keys, "t"]
@@ -18,7 +26,7 @@ def one_grid(signals: DataFrame, outcomes: DataFrame, keys: tuple[str, ...] = ()
             raise DataQualityError("an observation has no time")
         if not frame.groupBy(*on).count().where("count > 1").isEmpty():
             raise DataQualityError("a time is repeated")
-    if not signals.join(outcomes, on, "left_anti").isEmpty() or not outcomes.join(signals, on, "left_anti").isEmpty():
+    if any(grid_differences(signals, outcomes, keys).first()):
         raise DataQualityError("the observation grids differ")
     return signals.join(outcomes, on)
 
@@ -29,23 +37,56 @@ def trades(rows: DataFrame, signal: Column | str = "signal", *, convention: str
     rows: (keys, t, signal, gross_edge, cost). The outcome is taken from the next row, before any row is dropped, so a
     signal earns nothing on its own bar and one on the last bar earns nothing at all. NaN counts as no signal.
     """
+    out = _settled(rows, signal, convention, keys, order).where("_next.t is not null and _next.gross_edge is not null and _next.cost is not null")
+    out = out.withColumns({"execution_t": F.col("_next.t"), "_gross": F.col("_next.gross_edge"), "_cost": F.col("_next.cost")})
+    return out.select(*keys, F.col("t").alias("decision_t"), "execution_t", F.col("_gross").alias("gross_edge"), F.col("_cost").alias("cost"), (F.col("_gross") - F.col("_cost")).alias("net_edge"))
+
+
+def unsettled(rows: DataFrame, signal: Column | str = "signal", *, keys: tuple[str, ...] = (), order: str = "t") -> DataFrame:
+    """The rows with a signal that no row follows: they earn nothing."""
+    return _settled(rows, signal, "earned_over_following_bar", keys, order).where("_next is null").drop("_next")
+
+
+def _settled(rows: DataFrame, signal: Column | str, convention: str, keys: tuple[str, ...], order: str) -> DataFrame:
+    """The rows with a signal, and _next (t, gross_edge, cost), the row that settles it, or null.
+
+    Without keys, days are dealt to tasks, and the last row of a day is settled by the first of the next day that has any.
+    """
     k = CONVENTIONS.get(convention)
     if k is None:
         raise ConfigurationError(f"convention is one of {tuple(CONVENTIONS)}")
-    w = Window.partitionBy(*keys).orderBy(order)
-    s = F.col(signal) if isinstance(signal, str) else signal
-    took = s.cast("double")
+    took = (F.col(signal) if isinstance(signal, str) else signal).cast("double")
     out = rows.withColumn("_took", (took != 0) & ~F.isnan(took))
-    out = out.withColumns({"execution_t": F.lead("t", k).over(w), "_gross": F.lead("gross_edge", k).over(w), "_cost": F.lead("cost", k).over(w)})
-    out = out.where("_took and execution_t is not null and _gross is not null and _cost is not null")
-    return out.select(*keys, F.col("t").alias("decision_t"), "execution_t", F.col("_gross").alias("gross_edge"), F.col("_cost").alias("cost"), (F.col("_gross") - F.col("_cost")).alias("net_edge"))
+    row = F.struct("t", "gross_edge", "cost")
+    if not k:
+        out = out.withColumn("_next", row)
+    elif keys or order != "t":
+        out = out.withColumn("_next", F.lead(row, k).over(Window.partitionBy(*keys).orderBy(order)))
+    else:
+        out = stretches.dealt(out, order)
+        first = out.groupBy("_stretch").agg(F.min_by(row, order).alias("_first"))
+        first = first.select("_stretch", F.lead("_first").over(Window.orderBy("_stretch")).alias("_first"))
+        own = F.lead(row, k).over(Window.partitionBy("_stretch").orderBy(order))
+        out = out.withColumn("_next", own).join(first, "_stretch").withColumn("_next", F.coalesce("_next", "_first")).drop("_stretch", "_first")
+    return out.where("_took").drop("_took")
 
 
 def equity(made: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds equity, peak (0 at least) and drawdown (0 at most) in order of execution."""
-    w = Window.partitionBy(*keys).orderBy("execution_t", "decision_t").rowsBetween(Window.unboundedPreceding, 0)
-    out = made.withColumn("equity", F.sum("net_edge").over(w))
-    out = out.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w)))
+    """Adds equity, peak (0 at least) and drawdown (0 at most) in order of execution.
+
+    Without keys, days are dealt to tasks; what a day starts from are sums and peaks of the days before.
+    """
+    by = keys or ("_stretch",)
+    w = Window.partitionBy(*by).orderBy("execution_t", "decision_t").rowsBetween(Window.unboundedPreceding, 0)
+    out = made if keys else stretches.dealt(made, "execution_t")
+    out = out.withColumn("equity", F.sum("net_edge").over(w)).withColumn("peak", F.max("equity").over(w))
+    if not keys:
+        day = out.groupBy("_stretch").agg(F.sum("net_edge").alias("_sum"), F.max("equity").alias("_top"))
+        day = stretches.before(day, {"_base": F.sum("_sum")})
+        day = stretches.before(day.withColumn("_top", F.col("_top") + F.coalesce("_base", F.lit(0.0))), {"_peak": F.max("_top")})
+        out = out.join(day.select("_stretch", "_base", "_peak"), "_stretch").withColumn("_base", F.coalesce("_base", F.lit(0.0)))
+        out = out.withColumn("equity", F.col("equity") + F.col("_base")).withColumn("peak", F.greatest("_peak", F.col("peak") + F.col("_base"))).drop("_stretch", "_base", "_peak")
+    out = out.withColumn("peak", F.greatest(F.lit(0.0), "peak"))
     return out.withColumn("drawdown", F.col("equity") - F.col("peak"))
 
 
@@ -63,6 +104,8 @@ def metrics(made: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def numbered(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds pos, a row's number from 0."""
+    if not keys:
+        return stretches.numbered(rows, "t", "pos")
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientDataError
+from . import stretches
+
+
+#: Bars that a task takes at a time.
+BARS = 65_536
 
 
 def grid(panel: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def full_rows(panel: DataFrame, symbols: int) -> DataFrame:
 
 def longest_run(flags: DataFrame) -> DataFrame:
     """flags (t, bar) of the bars that count: one row start_t, end_t, rows of the longest run without a missing bar, the first on ties."""
-    run = flags.withColumn("g", F.col("bar") - F.row_number().over(Window.orderBy("bar")))
+    run = stretches.numbered(flags, "bar", "_at", BARS).withColumn("g", F.col("bar") - F.col("_at")).drop("_at")
     found = run.groupBy("g").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("rows"))
     return found.orderBy(F.desc("rows"), "start_t").limit(1).select("start_t", "end_t", "rows")
 
@@ -84,5 +89,10 @@ def pivoted(panel: DataFrame, symbols: list[str]) -> DataFrame:
     return panel.groupBy("t").pivot("symbol", symbols).agg(F.first("close"))
 
 
+def at_times(panel: DataFrame, times: DataFrame) -> DataFrame:
+    """The rows of panel at the times t of the other frame."""
+    return panel.join(times.select("t"), "t", "left_semi")
+
+
 def slice_of(panel: DataFrame, start: int, end: int) -> DataFrame:
     return panel.where(F.col("t").between(start, end))

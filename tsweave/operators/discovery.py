@@ -85,6 +85,11 @@ def gate(rows: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("status", F.when(low, "insufficient_observations").otherwise(F.col("status")))
 
 
+def missing(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """The distinct symbols of the one frame that the other hasn't."""
+    return wanted.select("symbol").distinct().join(have.select("symbol"), "symbol", "left_anti")
+
+
 def missing_symbols(formula: str, have: list[str]) -> list[str]:
     return sorted(parse(formula).symbols() - set(have))
 
@@ -97,7 +102,12 @@ def history(panel: DataFrame, have: list[str], name: str, target: str, formula:
     tree = parse(formula)
     if missing_symbols(formula, have) or target not in have:
         return None
-    rows = panel.select(F.lit(name).alias("name"), "t", known(F.col(f"`{target}`")).alias("actual"), known(to_column(tree)).alias("synthetic")).where("actual is not null and synthetic is not null")
+    return measured(panel.select(F.lit(name).alias("name"), "t", known(F.col(f"`{target}`")).alias("actual"), known(to_column(tree)).alias("synthetic")), window)
+
+
+def measured(pairs: DataFrame, window: int = stats.Z_WINDOW) -> DataFrame:
+    """What ranks candidates, for rows (name, t, actual, synthetic) of any number of them."""
+    rows = pairs.where("actual is not null and synthetic is not null")
     keys, order = ["name"], ["t"]
     rows = rows.withColumn("discrepancy", F.col("actual") - F.col("synthetic")).withColumn("abs_discrepancy", F.abs("discrepancy"))
     rows = rows.withColumn("zscore", stats.zscore(F.col("discrepancy"), keys, order, window))
@@ -109,19 +119,25 @@ def history(panel: DataFrame, have: list[str], name: str, target: str, formula:
 
 
 def evaluate(panel: DataFrame, have: list[str], rows: list[tuple[str, str, str]], least: int = 30) -> tuple[DataFrame | None, list[tuple[str, str, str]]]:
-    """(histories of all candidates (name, target, formula), [(name, status, reason)] of those without one)."""
-    found, without = None, []
+    """(histories of all candidates (name, target, formula), [(name, status, reason)] of those without one).
+
+    The panel is read once: each of its rows gives one row a candidate, and windows are of each candidate.
+    """
+    found, without = [], []
     for name, target, formula in rows:
         try:
-            one = history(panel, have, name, target, formula)
+            tree = parse(formula)
         except InvalidFormulaError as e:
             without.append((name, "requires_data", str(e)))
             continue
-        if one is None:
+        if missing_symbols(formula, have) or target not in have:
             without.append((name, "requires_data", "missing: " + ", ".join(sorted({*missing_symbols(formula, have)} | ({target} - set(have))))))
         else:
-            found = one if found is None else found.unionByName(one)
-    return found, without
+            found.append(F.struct(F.lit(name).alias("name"), known(F.col(f"`{target}`")).alias("actual"), known(to_column(tree)).alias("synthetic")))
+    if not found:
+        return None, without
+    each = panel.select("t", F.explode(F.array(*found)).alias("c"))
+    return measured(each.select("c.name", "t", "c.actual", "c.synthetic")), without
 
 
 def statuses(histories: DataFrame, least: int = 30) -> DataFrame:

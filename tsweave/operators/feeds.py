@@ -86,6 +86,17 @@ def require_columns(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return rows
 
 
+def with_mid_and_spread(ticks: DataFrame) -> DataFrame:
+    """Adds mid and spread of bid and ask."""
+    return ticks.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("spread", F.col("ask") - F.col("bid"))
+
+
+def batch_totals(rows: DataFrame, by: str = "symbol") -> DataFrame:
+    """(by, rows): how many rows each batch has, and all together under 'total'."""
+    each = rows.groupBy(by).agg(F.count("*").alias("rows"))
+    return each.union(each.agg(F.lit("total"), F.coalesce(F.sum("rows"), F.lit(0))))
+
+
 def source_clock(rows: DataFrame, offset_us: int) -> DataFrame:
     """t as UTC where it was a source's clock that is ahead by offset_us; the source's time stays as source_t."""
     return rows.withColumn("source_t", F.col("t")).withColumn("t", F.col("t") - offset_us)

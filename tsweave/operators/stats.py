@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inorder, over, rolling, safe_corr, upto, when_full
+from . import stretches
 
 MIN_CORRELATION = 8
 Z_WINDOW = 20
@@ -56,17 +57,64 @@ def discrepancy_volatility(value: Column, keys: list[str], order: list[str], win
 def regimes(rows: DataFrame, value: str, keys: list[str], window: int, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Adds volatility and regime (low, normal, high) by quantiles of all volatility so far; rows (keys, t, value).
 
-    The expanding exact quantile sees every earlier row of its series, so this is for bar panels, not for raw ticks.
+    A series goes through one task in order of time, which keeps the volatilities so far in heaps: n log n steps.
     """
     order = ["t"]
     back = F.lag(value).over(inorder(keys, order))
     log_return = F.when((F.col(value) > 0) & (back > 0), F.ln(F.col(value) / F.nullif(back, F.lit(0.0))))
     out = rows.withColumn("_r", log_return).withColumn("volatility", realized_volatility(F.col("_r"), keys, order, window))
-    w = upto(keys, order)
-    out = out.withColumn("_q", F.percentile("volatility", F.array(F.lit(low), F.lit(high))).over(w))
-    v, a, b = F.col("volatility"), F.col("_q")[0], F.col("_q")[1]
+    out = expanding_quantiles(out, "volatility", keys, order, {"_low": low, "_high": high})
+    v, a, b = F.col("volatility"), F.col("_low"), F.col("_high")
     label = F.when(v.isNull(), None).when(a == b, "normal").when(v <= a, "low").when(v >= b, "high").otherwise("normal")
-    return out.withColumn("regime", label).drop("_r", "_q")
+    return out.withColumn("regime", label).drop("_r", "_low", "_high")
+
+
+class RunningQuantile:
+    """The exact quantile of the numbers so far, interpolated between neighbours: two heaps that part at its place."""
+
+    def __init__(self, share: float):
+        self.share, self.below, self.above = share, [], []
+
+    def add(self, x: float) -> float:
+        from heapq import heappop, heappush, heappushpop
+
+        if self.below and x < -self.below[0]:
+            heappush(self.above, -heappushpop(self.below, -x))
+        else:
+            heappush(self.above, x)
+        place = self.share * (len(self.below) + len(self.above) - 1)
+        while len(self.below) < int(place) + 1:
+            heappush(self.below, -heappop(self.above))
+        while len(self.below) > int(place) + 1:
+            heappush(self.above, -heappop(self.below))
+        low = -self.below[0]
+        part = place - int(place)
+        return low if part == 0 else (1 - part) * low + part * self.above[0]
+
+
+def expanding_quantiles(rows: DataFrame, value: str, keys: list[str], order: list[str], shares: dict[str, float]) -> DataFrame:
+    """Adds a column for each share: the quantile of all values up to the row, in order; null before the first value."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        own, found = None, []
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(value)).to_pylist()
+            names = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True) if keys else [()] * len(values)
+            out = []
+            for key, v in zip(names, values, strict=True):
+                if (key,) != own:
+                    own, found, last = (key,), [RunningQuantile(s) for s in shares.values()], [None] * len(shares)
+                if v is not None:
+                    last = [q.add(v) for q in found]
+                out.append(last)
+            columns = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.float64())] * len(shares)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *shares])
+
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in shares]])
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def regime_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +159,10 @@ def average_rank(value: str, keys: list[str]) -> Column:
 def correlation(pairs: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int = MIN_CORRELATION) -> DataFrame:
     """(by, n, pearson, spearman, reason): both null with a reason where there are too few pairs or a side is constant."""
     good = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    good = good.withColumn("_rx", average_rank(x, list(by))).withColumn("_ry", average_rank(y, list(by)))
+    if by:
+        good = good.withColumn("_rx", average_rank(x, list(by))).withColumn("_ry", average_rank(y, list(by)))
+    else:
+        good = stretches.average_rank(stretches.average_rank(good, x, "_rx"), y, "_ry")
     c = F.col
     own = good.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(c(x), c(y)).alias("p"), safe_corr(c("_rx"), c("_ry")).alias("s"))
     few = F.col("n") < least

@@ -53,12 +53,14 @@ def spread_in_points() -> Column:
 def resolve(catalog: DataFrame, canonical: str, configured: str | None = None) -> DataFrame:
     """(symbol, reason): the catalog's name for a canonical symbol: as configured, else by normalised name, else by alias.
 
-    catalog: (symbol, position). Of several of one kind, aliases go in their order and then by position.
+    catalog: (symbol, position). Of several with the normalised name the last by position counts; aliases go in their
+    order and then by position.
     """
     aliases = ALIASES.get(canonical, (canonical.lower(),))
     by_alias = F.coalesce(*[F.when(holds_word(F.col("symbol"), a), i) for i, a in enumerate(aliases)])
     rank = F.when(F.col("symbol") == F.lit(configured), 0).when(normalized(F.col("symbol")) == _plain(canonical), 1).otherwise(2 + by_alias)
-    found = catalog.withColumn("rank", rank).where("rank is not null").orderBy("rank", "position").limit(1)
+    found = catalog.withColumn("rank", rank).where("rank is not null")
+    found = found.orderBy("rank", F.when(F.col("rank") == 1, -F.col("position")).otherwise(F.col("position"))).limit(1)
     return found.select("symbol", F.when(F.col("rank") == 0, "configuration").when(F.col("rank") == 1, "normalized_name").otherwise("alias").alias("reason"))
 
 

@@ -2,7 +2,7 @@
 
 
 def queries() -> dict:
-    from . import extras, inputs, market, research  # noqa: F401
+    from . import extras, files, inputs, market, research  # noqa: F401
 
     return dict(inputs.QUERIES)
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import formula
 from ..functions.columns import micros, safe_corr
-from ..operators import asof, crossfeed, discovery, stats, symbols
+from ..operators import asof, backtest, coverage, crossfeed, discovery, feeds, multiplicity, stats, symbols
 from ..sources import tables
+from ..streaming import streams
+from ..sources.scratch import scratch
 from . import inputs as I  # noqa: E741
 from .inputs import query, rounded, with_
 from .research import BETA, _family, _signals
@@ -33,20 +35,19 @@ def candidate_verdicts(spark, sf):
 def grid_mismatch(spark, sf):
     s = I.series(spark, sf)
     a, b = (s.where(F.col("symbol") == x).select("t") for x in ("F", "P"))
-    only = lambda x, y, name: x.join(y, "t", "left_anti").agg(F.count("*").alias(name))
-    return only(a, b, "only_left").crossJoin(only(b, a, "only_right"))
+    return backtest.grid_differences(a, b)
 
 
 @query(with_("panel", "SELECT * FROM panel WHERE t IN (SELECT t FROM panel WHERE symbol='error')"))
 def semi_join_times(spark, sf):
     p = I.panel(spark, sf)
-    return p.join(p.where("symbol = 'error'").select("t"), "t", "left_semi").select("t", "symbol", "close")
+    return coverage.at_times(p, p.where("symbol = 'error'")).select("t", "symbol", "close")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k=1")
 def first_of_each(spark, sf):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return I.table(spark, sf, "events").withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "event_type", "event_id")
+    made = I.table(spark, sf, "events").select(F.struct("user_id", "event_type").alias("execution_t"), micros("ts").alias("fold"), F.col("event_id").alias("decision_t"))
+    return backtest.once_each(made).select("execution_t.*", F.col("decision_t").alias("event_id"))
 
 
 @query(with_("a", "SELECT round(greatest((max(t)-min(t))/3600000000.0, 1/3600.0),6) AS hours, min(t) AS first_t, max(t) AS last_t FROM a"))
@@ -69,8 +70,7 @@ def lag_pairs(spark, sf):
 
 @query(with_("family", "SELECT position, row_number() OVER (PARTITION BY family ORDER BY p_value, position) AS rank FROM family"))
 def p_value_rank(spark, sf):
-    w = Window.partitionBy("family").orderBy("p_value", "position")
-    return rounded(_family(spark, sf).select("position", F.row_number().over(w).alias("rank")))
+    return rounded(multiplicity.adjust(_family(spark, sf), "bonferroni", by=("family",)).select("position", "rank"))
 
 
 @query("SELECT c_custkey, regexp_replace(c_name,'[^A-Za-z0-9._-]','_','g') AS name FROM customer")
@@ -78,15 +78,18 @@ def safe_names(spark, sf):
     return I.table(spark, sf, "customer").select("c_custkey", symbols.safe_name(F.col("c_name")).alias("name"))
 
 
-@query("SELECT p_partkey, sha256(p_name) AS sha256 FROM part")
+@query("SELECT r_regionkey, sha256(r_name || chr(10)) AS sha256, CAST(length(r_name) + 1 AS BIGINT) AS bytes FROM region")
 def fingerprints(spark, sf):
-    return I.table(spark, sf, "part").select("p_partkey", F.sha2("p_name", 256).alias("sha256"))
+    """A file for each region, with its name as the only line."""
+    folder = scratch(spark, "regions")
+    I.table(spark, sf, "region").select("r_regionkey", "r_name").repartition("r_regionkey").write.partitionBy("r_regionkey").text(folder)
+    key = F.regexp_extract("path", "r_regionkey=([0-9]+)", 1).cast(I.table(spark, sf, "region").schema["r_regionkey"].dataType)
+    return rounded(tables.fingerprints(spark, [f"{folder}/*/*.txt"]).select(key.alias("r_regionkey"), "sha256", "bytes"))
 
 
 @query("SELECT l_returnflag AS symbol, count(*) AS rows FROM lineitem GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM lineitem")
 def batch_totals(spark, sf):
-    g = I.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.count("*").alias("rows"))
-    return g.union(g.agg(F.lit("total"), F.sum("rows")))
+    return feeds.batch_totals(I.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("symbol")))
 
 
 @query("SELECT * FROM (VALUES ('EURGBP',['EURUSD','GBPUSD']),('EURJPY',['EURUSD','USDJPY']),('GBPJPY',['GBPUSD','USDJPY']),('XAUEUR',['EURUSD','XAUUSD']),('GOLD_SILVER_RATIO',['XAGUSD','XAUUSD'])) v(name,d)".replace("SELECT *", "SELECT name, array_to_string(d, ',') AS symbols"))
@@ -96,8 +99,8 @@ def catalog_symbols(spark, sf):
 
 @query(with_("lead1", "SELECT count(*) FILTER (signal<>0) AS signals, count(*) FILTER (signal<>0 AND execution_t IS NULL) AS on_last_bar FROM lead1"))
 def unsettled_signals(spark, sf):
-    s = _signals(spark, sf).withColumn("next", F.lead("t").over(Window.orderBy("t")))
-    return s.agg(F.count_if(F.col("signal") != 0).alias("signals"), F.count_if((F.col("signal") != 0) & F.col("next").isNull()).alias("on_last_bar"))
+    s = _signals(spark, sf)
+    return s.agg(F.count_if(F.col("signal") != 0).alias("signals")).crossJoin(backtest.unsettled(s).agg(F.count("*").alias("on_last_bar")))
 
 
 @query(BETA + "SELECT count(*) AS rows, count(beta) AS windows, count(*)-count(beta) AS warm_up FROM bt")
@@ -115,5 +118,5 @@ def asof_by_symbol(spark, sf):
 
 @query("SELECT event_type AS symbol, (epoch_us(ts)//3600000000)*3600000000 AS t, round(arg_min(value,ts),6) AS open, round(max(value),6) AS high, round(min(value),6) AS low, round(arg_max(value,ts),6) AS close, count(*) AS ticks FROM events GROUP BY ALL")
 def bars_of_ticks(spark, sf):
-    e = I.table(spark, sf, "events").groupBy(F.col("event_type").alias("symbol"), (F.floor(micros("ts") / I.HOUR) * I.HOUR).alias("t"))
-    return rounded(e.agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").alias("ticks")))
+    e = I.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    return rounded(streams.bars(e, "1 hour", "0 seconds").select("symbol", micros("ts").alias("t"), "open", "high", "low", "close", "ticks"))

@@ -56,7 +56,7 @@ def tick_last_dedup(spark, sf):
 @query("SELECT event_id AS seq, round((value*0.999+value*1.001)/2,6) AS mid, round(value*1.001-value*0.999,6) AS spread FROM events WHERE value>0")
 def mid_spread(spark, sf):
     e = I.table(spark, sf, "events").where("value > 0").select(F.col("event_id").alias("seq"), (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"))
-    return rounded(e.select("seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread")))
+    return rounded(feeds.with_mid_and_spread(e).select("seq", "mid", "spread"))
 
 
 @query("SELECT event_id AS seq, epoch_us(ts) AS source_t, epoch_us(ts)-7200000000 AS t FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import formula
 from ..functions.columns import micros
 from ..operators import backtest, coverage, discovery, montecarlo, multiplicity, stats, symbols
+from ..sources import tables
 from . import inputs as I  # noqa: E741
 from .inputs import query, r6, rounded, with_
 
@@ -93,8 +94,8 @@ def symbol_triples(spark, sf):
 
 @query("SELECT n_name AS symbol FROM nation EXCEPT SELECT n_name FROM nation JOIN supplier ON n_nationkey=s_nationkey WHERE s_acctbal>9000")
 def missing_symbols(spark, sf):
-    n, s = I.table(spark, sf, "nation"), I.table(spark, sf, "supplier").where("s_acctbal > 9000")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "left_anti").select(F.col("n_name").alias("symbol")).distinct()
+    n, s = I.table(spark, sf, "nation").withColumn("symbol", F.col("n_name")), I.table(spark, sf, "supplier").where("s_acctbal > 9000")
+    return discovery.missing(n, n.join(s, n.n_nationkey == s.s_nationkey, "left_semi"))
 
 
 @query("SELECT c_mktsegment AS symbol FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey)>=(SELECT count(*) FROM nation)".replace("c_mktsegment AS symbol", "regexp_replace(lower(c_mktsegment),'[^a-z0-9]','','g') AS symbol"))
@@ -403,12 +404,13 @@ def trade_modes(spark, sf):
 @query("SELECT t, count(*) AS n FROM (SELECT (epoch_us(ts)//3600000000)*3600000000 AS t FROM events) GROUP BY t ORDER BY n DESC, t LIMIT 10")
 def topk_last_n(spark, sf):
     e = I.table(spark, sf, "events").select((F.floor(micros("ts") / I.HOUR) * I.HOUR).alias("t"))
-    return e.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(10)
+    n = e.groupBy("t").agg(F.count("*").alias("n"))
+    return tables.newest(n.select(F.col("n").alias("t"), (-F.col("t")).alias("seq")), 10).select((-F.col("seq")).alias("t"), F.col("t").alias("n"))
 
 
 @query("SELECT o_orderkey, n FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_orderkey) AS r FROM lineitem GROUP BY 1) WHERE r<=25")
 def ranked_order(spark, sf):
     n = I.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "o_orderkey").limit(25)
+    return tables.newest(n.select(F.col("n").alias("t"), (-F.col("o_orderkey")).alias("seq")), 25).select((-F.col("seq")).alias("o_orderkey"), F.col("t").alias("n"))
 
 

@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import uuid
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +143,7 @@ def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def experiment_manifest(experiment_type: str, parameters: dict, sources: list[dict]) -> dict:
-    return {"experiment_id": "EXP-" + uuid.uuid4().hex[:8], "experiment_type": experiment_type, "created_at": datetime.now().astimezone().isoformat(), "parameters": parameters, "sources": sources}
+    return {"experiment_id": "EXP-" + uuid.uuid4().hex[:8], "experiment_type": experiment_type, "created_at": datetime.now(UTC).isoformat(), "parameters": parameters, "sources": sources}
 
 
 def _jsonable(x):
