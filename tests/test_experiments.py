@@ -57,3 +57,29 @@ def test_collect(spark, tmp_path):
     assert experiments.collect_feed(good, str(tmp_path / "d"), "p")["quality"]["duplicates"] == 1
     with pytest.raises(DataQualityError):
         experiments.collect_feed(good.selectExpr("timestamp", "broker", "symbol", "-bid bid", "ask"), str(tmp_path / "d"), "p")
+
+
+def test_stored_catalogs(spark, tmp_path):
+    path = tmp_path / "catalog.csv"
+    path.write_text("position,name,description,visible,trade_mode\n0,GOLD,Gold spot,true,4\n1,EURUSD.m,Euro,false,4\n2,OLD,Gold old,true,0\n")
+    p = str(path)
+    names = lambda r: [x["name"] for x in r["results"]["symbols"]]
+    assert names(experiments.search_symbols(spark, p)) == ["GOLD", "EURUSD.m"]
+    assert names(experiments.search_symbols(spark, p, everything=True, visible_only=True)) == ["GOLD", "OLD"]
+    assert names(experiments.search_symbols(spark, p, search="gold")) == ["GOLD"]
+    found = experiments.resolve_symbols(spark, p, names=("XAUUSD", "EURJPY"))["results"]["resolved"]
+    assert found == {"XAUUSD": {"symbol": "GOLD", "reason": "alias"}, "EURJPY": {"symbol": None, "reason": None}}
+
+
+def test_collecting_drains_and_names_every_failure(spark, tmp_path):
+    from tsweave.errors import CollectionError
+    from tsweave.sources import tables
+
+    ticks = tmp_path / "t.csv"
+    ticks.write_text("timestamp,broker,symbol,bid,ask\n2024-01-01 00:00:00,x,E,1,2\n2024-01-01 00:00:01,x,E,1,2\n2024-01-01 00:00:00,x,BAD,-1,2\n")
+    folder = str(tmp_path / "out")
+    ok = ("one", "E", str(ticks))
+    assert [m["rows"] for m in experiments.collect_all(spark, [ok], folder)] == [2]
+    with pytest.raises(CollectionError, match="two/BAD.*three/E: .* after 2 attempts"):
+        experiments.collect_all(spark, [("two", "BAD", str(ticks)), ("three", "E", str(tmp_path / "none.csv")), ("four", "E", str(ticks))], folder, retries=1, wait_s=0)
+    assert tables.read_dataset(spark, folder).where("broker_profile = 'four'").count() == 2

@@ -56,10 +56,21 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("path")
     s.add_argument("--target", required=True)
     s.add_argument("--formula", dest="text", required=True)
+    y = sub.add_parser("symbols")
+    y.add_argument("path")
+    y.add_argument("--search")
+    y.add_argument("--all", dest="everything", action="store_true")
+    y.add_argument("--visible-only", action="store_true")
+    n = sub.add_parser("resolve-symbols")
+    n.add_argument("path")
+    n.add_argument("--names", type=lambda x: tuple(x.split(",")), default=argparse.SUPPRESS)
+    k = sub.add_parser("symbol-specs")
+    k.add_argument("path")
+    k.add_argument("--symbol")
     return top
 
 
-COMMANDS = {"compare-feeds": experiments.compare_feeds, "discover": experiments.discover, "backtest": experiments.run_backtest, "multi-backtest": experiments.run_ensemble, "walk-forward": experiments.run_walk_forward, "robustness": experiments.run_robustness, "research": experiments.research}
+COMMANDS = {"compare-feeds": experiments.compare_feeds, "discover": experiments.discover, "backtest": experiments.run_backtest, "multi-backtest": experiments.run_ensemble, "walk-forward": experiments.run_walk_forward, "robustness": experiments.run_robustness, "research": experiments.research, "symbols": experiments.search_symbols, "resolve-symbols": experiments.resolve_symbols, "symbol-specs": experiments.symbol_specs}
 
 
 def main(argv: list[str] | None = None) -> str:

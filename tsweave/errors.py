@@ -23,3 +23,7 @@ class DataQualityError(TsweaveError):
 
 class SymbolNotFoundError(TsweaveError):
     """A symbol isn't in the catalog."""
+
+
+class CollectionError(TsweaveError):
+    """Some of several sources couldn't be collected."""

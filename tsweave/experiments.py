@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InsufficientDataError
+from .errors import CollectionError, InsufficientDataError
 from .functions import formula
-from .operators import backtest, contracts, costs, coverage, crossfeed, discovery, feeds, montecarlo, multiplicity, special, stats
+from .operators import backtest, contracts, costs, coverage, crossfeed, discovery, feeds, montecarlo, multiplicity, special, stats, symbols
 from .sources import tables
 
 PREVIEW = 20
@@ -26,7 +29,8 @@ def report(spark: SparkSession, kind: str, parameters: dict, paths: list[str], r
 def compare_feeds(spark: SparkSession, path_a: str, path_b: str, *, symbol_a: str, symbol_b: str, canonical: str, cost: float = 0.0, tolerance_ms: float = 100.0, mode: str = "anchor", aggregation: str = "last", gap_ms: float | None = None, latency_ms: float | None = None, contract_a: str | None = None, contract_b: str | None = None, volume: float = 0.1, leverage: float | None = None) -> dict:
     """Two brokers' ticks: alignment, edges, contract gate, execution, episodes, latency and the label of it all."""
     parameters = {k: v for k, v in locals().items() if k not in ("spark", "path_a", "path_b")}
-    a, b = (feeds.prepare_ticks(feeds.require_one_symbol(tables.load_feed(spark, p, s, canonical)), aggregation).cache() for p, s in ((path_a, symbol_a), (path_b, symbol_b)))
+    raw = [feeds.require_one_symbol(tables.load_feed(spark, p, s, canonical)) for p, s in ((path_a, symbol_a), (path_b, symbol_b))]
+    a, b = (feeds.prepare_ticks(r, aggregation).cache() for r in raw)
     tolerance = int(tolerance_ms * 1000)
     edges = crossfeed.directional_edges(crossfeed.align(a, b, tolerance, mode), cost).cache()
     specs = [tables.load_contract(spark, p, s) if p else None for p, s in ((contract_a, symbol_a), (contract_b, symbol_b))]
@@ -35,14 +39,15 @@ def compare_feeds(spark: SparkSession, path_a: str, path_b: str, *, symbol_a: st
     widest = edges.orderBy(F.desc("gross_edge"), "t").first()
     if widest is None:
         raise InsufficientDataError("no ticks could be aligned")
-    executable = capital = legs = None
+    executable = capital = legs = normalized = None
     if specs[0] and specs[1]:
         one = lambda s, price: costs.fill(costs.margin(spark.createDataFrame([s], contracts.SCHEMA).withColumn("volume", F.lit(volume)).withColumn("price", F.lit(float(price))), leverage))
         legs_a, legs_b = one(specs[0], widest.ask), one(specs[1], widest.b_ask)
         assessed = costs.execution(legs_a.select(F.struct(*legs_a.columns).alias("a")).crossJoin(legs_b.select(F.struct(*legs_b.columns).alias("b")))).first()
         executable, capital = assessed.executable, assessed.capital_verified
         if not gate.blocks:
-            legs = contracts.normalize_edge(edges.select("net_edge").limit(1).crossJoin(pair), "net_edge", F.lit(volume)).first().legs_agree
+            normalized = _rows(contracts.normalized_summary(contracts.normalize_edge(edges.select("net_edge").crossJoin(F.broadcast(pair)), "net_edge", F.lit(volume))))[0]
+            legs = normalized["legs_agree"]
     blocked = gate.blocks or executable is False
     gap = spark.createDataFrame([(canonical, gap_ms)], "symbol string, gap_ms double") if gap_ms is not None else crossfeed.episode_gap(edges, tolerance)
     gap_us = int(gap.first().gap_ms * 1000)
@@ -55,7 +60,9 @@ def compare_feeds(spark: SparkSession, path_a: str, path_b: str, *, symbol_a: st
         latency |= {"sweep": _rows(points.orderBy("value")), "sensitivity": _rows(costs.fragility(points, latency_ms))[0]}
         survives = latency["capturable"] > 0
     label = crossfeed.classification(gate.status, executable=executable, capital_verified=capital, survives=survives, legs_agree=legs)
-    summary = _rows(crossfeed.tick_summary(a, b, edges, found, label))[0]
+    summary = _rows(crossfeed.tick_summary(a, b, edges, found, label))[0] | _rows(crossfeed.tick_details(*raw, edges, blocked=blocked))[0]
+    summary |= {"symbol": canonical, "mode": mode, "aggregation": aggregation, "additional_cost": cost, "contract_status": gate.status, "contract_issues": gate.issues, "contract_advisories": gate.advisories}
+    summary |= {"normalization_applied": gate.status == contracts.NORMALIZE and not blocked, "normalized": normalized}
     shown = tables.preview(edges, "UTC", PREVIEW)
     return report(spark, "compare_feeds", parameters, [path_a, path_b], {"summary": summary, "contracts": gate.asDict() | {"a": None, "b": None}, "opportunities": _rows(found.orderBy("start_us"), 1_000), "latency": latency, "gap_ms": gap_us / 1000, "aligned": _rows(shown)})
 
@@ -142,3 +149,59 @@ def collect_feed(rows: DataFrame, folder: str, broker_profile: str) -> dict:
         raise DataQualityError(f"ticks are refused: {wrong or 'there are none'}")
     named = rows.withColumn("t", F.unix_micros(F.expr("try_cast(timestamp as timestamp)")))
     return tables.write_dataset(named, folder, broker_profile=broker_profile, data_type="ticks") | {"quality": counts}
+
+
+def collect_all(spark: SparkSession, jobs: list[tuple[str, str, str]], folder: str, *, workers: int = 4, retries: int = 2, wait_s: float = 0.1) -> list[dict]:
+    """Collect every job (broker profile, symbol, path of its ticks), several at a time, and return the manifests in order.
+
+    A job that can't be read is tried again; one whose ticks are refused is not. All jobs are ended before an error that
+    names every failed one is raised; what the others wrote stays.
+    """
+    from .errors import DataQualityError
+
+    def one(job: tuple[str, str, str]) -> dict | str:
+        profile, symbol, path = job
+        for attempt in range(retries + 1):
+            try:
+                rows = tables.read_any(spark, path).where(F.col("symbol") == symbol)
+                return collect_feed(rows, folder, profile)
+            except DataQualityError as e:
+                return f"{profile}/{symbol}: {e}"
+            except Exception as e:  # noqa: BLE001  a source can fail in any way
+                if attempt == retries:
+                    return f"{profile}/{symbol}: {type(e).__name__} after {attempt + 1} attempts"
+                time.sleep(wait_s)
+        raise AssertionError
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        done = list(pool.map(one, jobs))
+    if failed := [x for x in done if isinstance(x, str)]:
+        raise CollectionError("; ".join(failed))
+    return done
+
+
+def search_symbols(spark: SparkSession, path: str, *, search: str | None = None, everything: bool = False, visible_only: bool = False) -> dict:
+    """The symbols of a stored catalog that match, or all; those that can't be traded only where everything is asked for."""
+    rows = tables.load_catalog(spark, path)
+    if not everything:
+        rows = rows.where(symbols.is_tradable())
+    if visible_only:
+        rows = rows.where("visible")
+    rows = rows.withColumn("mode", symbols.trade_mode_name())
+    found = symbols.search(rows, search).orderBy("rank") if search else rows.orderBy("position")
+    return report(spark, "symbols", {"search": search, "everything": everything, "visible_only": visible_only}, [path], {"symbols": _rows(found)})
+
+
+def resolve_symbols(spark: SparkSession, path: str, *, names: tuple[str, ...] = tuple(symbols.ALIASES)) -> dict:
+    """For each canonical name the symbol of a stored catalog and the reason, or neither."""
+    catalog = tables.load_catalog(spark, path).select(F.col("name").alias("symbol"), "position").cache()
+    found = {}
+    for name in names:
+        one = symbols.resolve(catalog, name).first()
+        found[name] = {"symbol": one.symbol, "reason": one.reason} if one else {"symbol": None, "reason": None}
+    return report(spark, "resolve_symbols", {"names": list(names)}, [path], {"resolved": found})
+
+
+def symbol_specs(spark: SparkSession, path: str, *, symbol: str | None = None) -> dict:
+    """The stored specification of a symbol."""
+    return report(spark, "symbol_specs", {"symbol": symbol}, [path], {"specification": tables.load_contract(spark, path, symbol).asDict()})

@@ -64,4 +64,13 @@ def normalize_edge(rows: DataFrame, edge: str, volume: Column) -> DataFrame:
     out = rows.withColumn("volume_a", volume).withColumn("volume_b", volume * F.col("a.contract_size") / F.col("b.contract_size"))
     out = out.withColumn("pnl_a", pnl("a", F.col("volume_a"))).withColumn("pnl_b", pnl("b", F.col("volume_b"))).withColumn("net_pnl", F.col("pnl_a"))
     widest = F.greatest(F.abs("pnl_a"), F.abs("pnl_b"))
-    return out.withColumn("legs_agree", (widest == 0) | (F.abs(F.col("pnl_a") - F.col("pnl_b")) / F.nullif(widest, F.lit(0.0)) <= LEG_TOLERANCE))
+    out = out.withColumn("disagreement", F.when(widest == 0, F.lit(0.0)).otherwise(F.abs(F.col("pnl_a") - F.col("pnl_b")) / F.nullif(widest, F.lit(0.0))))
+    return out.withColumn("legs_agree", F.col("disagreement") <= LEG_TOLERANCE)
+
+
+def normalized_summary(rows: DataFrame) -> DataFrame:
+    """One row over normalize_edge(): b's volume for a volume of one of a, profit's mean and maximum, and how far the legs disagree at worst."""
+    return rows.agg(
+        F.max(F.col("volume_b") / F.col("volume_a")).alias("volume_ratio"), F.avg("net_pnl").alias("mean_net_pnl"), F.max("net_pnl").alias("max_net_pnl"),
+        F.min("legs_agree").alias("legs_agree"), F.max("disagreement").alias("disagreement"),
+    )

@@ -97,6 +97,20 @@ def tick_summary(a: DataFrame, b: DataFrame, edges: DataFrame, found: DataFrame,
     )
 
 
+def tick_details(raw_a: DataFrame, raw_b: DataFrame, edges: DataFrame, *, blocked: bool = False) -> DataFrame:
+    """One row that tick_summary() goes without: repeated times of both sides as they came, signed differences, the widest
+    edges among crossable rows, and how many of these a contract blocks, which are then no opportunities."""
+    repeated = lambda rows, name: rows.where("t is not null").groupBy("t").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias(name))
+    potential = F.col("net_edge") > 0
+    crossable = potential & F.lit(not blocked)
+    own = edges.agg(
+        F.avg(F.col("bid") - F.col("b_bid")).alias("mean_bid_difference"), F.avg(F.col("ask") - F.col("b_ask")).alias("mean_ask_difference"),
+        F.max(F.when(crossable, F.col("gross_edge"))).alias("max_gross_crossable_edge"), F.max(F.when(crossable, F.col("net_edge"))).alias("max_net_crossable_edge"),
+        F.count_if(crossable).alias("opportunity_observations"), F.count_if(potential & F.lit(blocked)).alias("blocked_observations"),
+    )
+    return own.crossJoin(repeated(raw_a, "duplicate_times_a")).crossJoin(repeated(raw_b, "duplicate_times_b"))
+
+
 def bar_summary(a: DataFrame, b: DataFrame, tolerance_us: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """One row over bars (t, seq, symbol, close): differences of closes only, so never an opportunity."""
     both = asof_join(a, b, tolerance_us=tolerance_us, direction="nearest", by=by)

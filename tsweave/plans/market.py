@@ -148,6 +148,11 @@ def comparison_summary(spark, sf):
     return rounded(crossfeed.tick_summary(a, b, edges, crossfeed.episodes(edges, 30 * I.MINUTE)))
 
 
+@query(with_("edges", "SELECT round(avg(bid-b_bid),6) AS mean_bid_difference, round(avg(ask-b_ask),6) AS mean_ask_difference, round(max(gross_edge) FILTER (net_edge>0),6) AS max_gross_crossable_edge, round(max(net_edge) FILTER (net_edge>0),6) AS max_net_crossable_edge, count(*) FILTER (net_edge>0) AS opportunity_observations, CAST(0 AS BIGINT) AS blocked_observations, (SELECT count(*)-count(DISTINCT t) FROM a) AS duplicate_times_a, (SELECT count(*)-count(DISTINCT t) FROM b) AS duplicate_times_b FROM edges"))
+def comparison_details(spark, sf):
+    return rounded(crossfeed.tick_details(*I.feeds(spark, sf), _edges(spark, sf)))
+
+
 @query(with_("panel", """, a AS (SELECT t, close FROM panel WHERE symbol='click'), b AS (SELECT t, close FROM panel WHERE symbol='view'), j AS (SELECT abs(x.close-CASE WHEN f.t IS NULL OR x.t-k.t<=f.t-x.t THEN k.close ELSE f.close END) AS d, abs(x.t-CASE WHEN f.t IS NULL OR x.t-k.t<=f.t-x.t THEN k.t ELSE f.t END) AS g FROM a x ASOF LEFT JOIN b k ON x.t>=k.t ASOF LEFT JOIN b f ON x.t<=f.t)
 SELECT count(*) AS aligned, round(avg(d),6) AS mean_abs_difference, round(max(d),6) AS max_abs_difference, round(quantile_cont(d,0.95),6) AS p95_abs_difference, CAST(0 AS BIGINT) AS opportunities, 'theoretical_bar_price_comparison' AS classification FROM j WHERE g<=3600000000"""))
 def bar_comparison_summary(spark, sf):

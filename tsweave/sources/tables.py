@@ -105,6 +105,16 @@ def load_latency(spark: SparkSession, path: str, symbol: str | None = None, brok
     return out
 
 
+def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A stored catalog of symbols: position, name, description, path, visible, trade_mode. Columns that a file hasn't are null; visible is then true."""
+    raw = read_any(spark, path)
+    if "name" not in raw.columns:
+        raise DataQualityError("a catalog has a name column")
+    pick = lambda c, kind: F.col(c).cast(kind) if c in raw.columns else F.lit(None).cast(kind)
+    place = pick("position", "long") if "position" in raw.columns else F.monotonically_increasing_id()
+    return raw.select(place.alias("position"), F.col("name").cast("string").alias("name"), pick("description", "string").alias("description"), pick("path", "string").alias("path"), F.coalesce(pick("visible", "boolean"), F.lit(True)).alias("visible"), pick("trade_mode", "int").alias("trade_mode"))
+
+
 def load_contract(spark: SparkSession, path: str, symbol: str | None = None):
     """The one contract of a JSON object or list, by symbol without regard to case; none or several is an error."""
     rows = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).json(path)
