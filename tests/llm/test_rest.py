@@ -137,6 +137,87 @@ def test_directories_inherit_from_the_nearest(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def brute_scan(files):
+    """own licence, licence file, licence and where from, one file at a time, by brute_cosine()."""
+    import re
+
+    def stated(text, first=0):
+        found = [(round(brute_cosine(text, t, licenses.TEMPLATES), 9), i) for i, (_, t) in enumerate(licenses.TEMPLATES) if i >= first and licenses.words_of(text)]
+        c, i = max(found, key=lambda x: (x[0], -x[1]), default=(0, 0))
+        return (-c, licenses.TEMPLATES[i][0]) if c >= licenses.THRESHOLD else None
+
+    first, own = len(licenses.TEMPLATES) - len(licenses.FILES), {}
+    for path, text in files:
+        lines = text.split("\n")
+        parts = [x for x, _ in licenses.paragraphs(text)] if len(lines) > 1 else []
+        n = len(licenses.words_of(text))
+        best = [s for x in [*lines, *parts, text] if (s := stated(x))]
+        share = max(sum(len(licenses.words_of(x)) for x in some if stated(x)) for some in (lines, parts, [text])) / max(1, n)
+        whole = [s for x in (text, " ".join(text.split()[: licenses.HEAD])) if (s := stated(x, first))]
+        mine = min(whole, default=min(best, default=None))
+        name = path.split("/")[-1].lower()
+        prose = (name.rpartition(".")[2] if "." in name else "") in licenses.PROSE
+        is_file = mine is not None and (re.sub(r"\.[^.]*$", "", name) in licenses.NAMES or prose and (bool(whole) or share >= licenses.MOSTLY))
+        own[path] = (mine, is_file)
+    out = {}
+    for path in own:
+        mine, is_file = own[path]
+        licence, source = (mine[1] if mine else None), None
+        at = path.split("/")[:-1]
+        while not mine and licence is None:
+            here = "/".join(at)
+            given = [(m[0], p, m[1]) for p, (m, f) in own.items() if f and "/".join(p.split("/")[:-1]) == here]
+            if given:
+                licence, source = min(given)[2], here
+            elif not at:
+                break
+            else:
+                at.pop()
+        out[path] = (mine and mine[1], is_file, licence, source)
+    return out
+
+
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def wrapped(text, width=70):
+    import textwrap
+
+    return textwrap.fill(text, width)
+
+
+def test_scan_against_brute_force(spark):
+    text = dict(reversed(licenses.FILES))
+    bsd3 = next(t for n, t in licenses.FILES if n == "BSD-3-Clause")
+    mit = "MIT License\n\nCopyright (c) 2021 Some One\n\n" + wrapped(licenses._MIT) + "\n\n" + wrapped(licenses._MIT_REST)
+    files = [
+        ("LICENSE", mit), ("main.py", "import os\nprint(1)"), ("sub/x.c", "// SPDX-License-Identifier: GPL-2.0\nint x;"), ("sub/y.c", "int y;"),
+        ("gpl/COPYING", wrapped(text["GPL-3.0"]) + "\n\n Preamble\n\nThe licenses for most software are designed to take away your freedom. " * 30), ("gpl/a/b/deep.c", "int z;"),
+        ("bsd/LICENSE.txt", "Copyright (c) 2020, X\nAll rights reserved.\n\n" + wrapped(text["BSD-2-Clause"])), ("bsd/a.py", "x = 1"),
+        ("bsd3/license.md", wrapped(bsd3)), ("bsd3/a.py", "x = 1"), ("hdr/short.py", APACHE_HEADER + "\nx = 1\n"), ("hdr/other.py", "y = 2"),
+        ("notes/1", "Released under the MIT License."), ("notes/2", "plain words of a note"), ("isc/LICENSE", wrapped(text["ISC"])), ("un/UNLICENSE", wrapped(text["Unlicense"])), ("un/x.py", "a"), ("tie/a", "All rights reserved."), ("tie/b", "All rights reserved."), ("tie/c", "words"),
+    ]
+    got = {r.path: (r.own_license, r.is_license_file, r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame([(*f, 1, "d") for f in files], "path string, text string, dir int, given string")).collect()}
+    assert got == brute_scan(files)
+    assert got["LICENSE"][:2] == ("MIT", True) and got["main.py"][2:] == ("MIT", "") and got["sub/x.c"][0] == "GPL-2.0"
+    assert got["gpl/COPYING"][:2] == ("GPL-3.0", True) and got["gpl/a/b/deep.c"][2:] == ("GPL-3.0", "gpl")
+    assert got["bsd/LICENSE.txt"][0] == "BSD-2-Clause" and got["bsd3/license.md"][0] == "BSD-3-Clause"
+    assert got["hdr/short.py"][:2] == ("Apache-2.0", False) and got["hdr/other.py"][2:] == ("MIT", "")
+    assert got["isc/LICENSE"][0] == "ISC" and got["un/x.py"][2:] == ("Unlicense", "un") and got["notes/2"][2] == "MIT" and got["tie/c"][2:] == ("Proprietary", "tie")
+
+
+def test_identifiers_and_long_texts():
+    names, _, _ = licenses.Matcher().best([f"// SPDX-License-Identifier: {x}" for x in licenses.IDENTIFIERS] + ["SPDX-License-Identifier: Zlib"])
+    assert names == [*licenses.IDENTIFIERS, None]
+    long = "word " * 400_000 + "\n" + APACHE_HEADER
+    assert licenses.paragraphs(long)[0][1] >= 4 and licenses.Matcher().file([long, ""]) == [None, None]
+
+
 def test_query_scans_every_document(spark):
     import __spark_entry__
 
