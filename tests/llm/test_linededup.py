@@ -16,9 +16,8 @@ def edit(a, b):
 
 
 def brute(docs):
-    """Groups of lines by all pairs: fingerprints within the radius and edit similarity over words."""
+    """Groups of lines by all pairs and edit similarity over words."""
     lines = sorted({" ".join(x.lower().split()) for _, t in docs for x in (t or "").split("\n")} - {""})
-    prints, _ = L.line_fingerprints(lines)
     parent = list(range(len(lines)))
 
     def find(i):
@@ -29,7 +28,7 @@ def brute(docs):
     for i in range(len(lines)):
         for j in range(i):
             a, b = lines[i].split(), lines[j].split()
-            if (int(prints[i]) ^ int(prints[j])).bit_count() <= L.RADIUS and edit(a, b) <= int(max(len(a), len(b)) * (1 - L.SIMILARITY) + 1e-9):
+            if edit(a, b) <= int(max(len(a), len(b)) * (1 - L.SIMILARITY) + 1e-9):
                 parent[find(i)] = find(j)
     group = {x: find(i) for i, x in enumerate(lines)}
     seen, out = set(), {}
@@ -67,19 +66,51 @@ def test_against_brute_force(spark):
         assert got == brute(docs)
 
 
-def test_block_masks_cover():
-    rng = random.Random(1)
-    for _ in range(2000):
-        d = sum(1 << b for b in rng.sample(range(64), rng.randint(0, L.RADIUS)))
-        assert any(not d & m for m in L.block_masks())
-
-
-def test_fingerprints_of_many_lines_are_those_of_one():
-    lines = ["a b c", "the the of", "x", "b a c " * 50]
-    together, coded = L.line_fingerprints([x.strip() for x in lines])
-    alone = [L.line_fingerprints([x.strip()])[0][0] for x in lines]
-    assert together.tolist() == [int(x) for x in alone] and [len(c) for c in coded] == [3, 3, 1, 150]
-    assert L.line_fingerprints([])[0].dtype == np.uint64
+def test_words_are_hashed_alike_wherever_they_stand():
+    lines = ["a b c", "the the of", "x", "b a c " * 50, "é" * 300 + " a", "ab " + "z" * 5_000]
+    lines = [x.strip() for x in lines]
+    together, n = L.hashed_words(lines)
+    assert n.tolist() == [len(x.split()) for x in lines]
+    hashes = dict(zip(" ".join(lines).split(), together.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes) and [hashes[w] for x in lines for w in x.split()] == together.tolist()
+    alone = np.concatenate([L.hashed_words([x])[0] for x in lines])
+    assert (alone == together).all() and len(L.hashed_words([])[0]) == 0
+    some = [f"{a}{b}" for a in "abcdefghijkl" for b in range(3000)]
+    assert len(set(L.hashed_words(some)[0].tolist())) == len(some)
+    coded, n, odd = L.coded_lines(lines)
+    assert [len(c) for c in coded] == n.tolist() and odd.shape == (len(lines), 2)
+
+
+def test_shared_keys_of_runs_against_brute_force():
+    rng = np.random.default_rng(5)
+    for most in (10, 60, 10_000):
+        rows = [(rng.integers(0, 40, n).astype(np.uint64) << np.uint64(56) | rng.integers(0, 3, n).astype(np.uint64), rng.integers(0, 25, n)) for n in (1, 30, 7, 50, 40, 0)]
+        got, ranges = {}, 4
+        by = {}
+        for key, node in rows:
+            for at, run in zip(*L.runs(node.astype(np.int64), key, ranges), strict=True):
+                by.setdefault(int(at), []).append(run)
+        for at, some in by.items():
+            shared = L.SharedKeys(at, most)
+            parts = [p for r in some if (p := shared.add(r)) is not None] + [shared.flush(True)]
+            for p in parts:
+                for k, node, size in p.itertuples(index=False):
+                    got.setdefault((at, k), {})[node] = size
+        want = {}
+        for key, node in rows:
+            for k, x in zip(key.tolist(), node.tolist(), strict=True):
+                want.setdefault((k >> 32) * ranges >> 32, {}).setdefault(k & (1 << 48) - 1, set()).add(x)
+        want = sorted((at, tuple(sorted(v))) for at, of in want.items() for v in of.values() if len(v) > 1)
+        assert sorted((at, tuple(sorted(v))) for (at, _), v in got.items()) == want
+        assert all(len(set(v.values())) == 1 and min(v.values()) >= len(v) for v in got.values())
+
+
+def test_many_equal_lines_and_clashing_names(spark):
+    rows = [(1, "one two three\n" * 60_000, "x", "y", "z"), (2, "one two three", "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rid string, gone string, RID string")
+    got = {r.doc_id: r for r in L.without_repeated_lines(docs).collect()}
+    assert got[1].n_removed == 59_999 and got[1].n_lines == 60_001 and got[1].text == "one two three\n" and got[2].text == ""
+    assert got[1]._rid == "x" and got[1].gone == "y" and got[1].RID == "z"
 
 
 def test_odd_rows(spark):

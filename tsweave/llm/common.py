@@ -45,6 +45,12 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def delete_table(df: DataFrame) -> None:
+    """Remove the table that written() gave, which nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nothing refers to, now and not when the driver's heap is full."""
     gc.collect()
@@ -74,6 +80,30 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, like `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+#: A key is hot if it has at least this share of the rows, so there are at most so many hot keys.
+HOT_SHARE = 1024
+
+
+def join_with_hot(rows: DataFrame, about: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """rows joined with about on key, of which about has one row a key; rows of hot keys don't meet in one task.
+
+    about tells in `times` how often a key is in rows at least, and total is the number of rows, so at most HOT_SHARE keys
+    are hot and these are broadcast. The others are joined by a shuffle.
+    """
+    hot = about.where(F.col(times) * HOT_SHARE >= max(total, 1))
+    cold = about.where(F.col(times) * HOT_SHARE < max(total, 1))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,30 +52,45 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The distinct rows of keys (key, node, ...) whose key more than one node has."""
+    """The distinct rows of keys (key, node, ...) whose key more than one node has, with size, the rows of the key."""
     of_key = Window.partitionBy("key")
-    both = keys.withColumn("_least", F.min("node").over(of_key)).withColumn("_most", F.max("node").over(of_key))
+    both = keys.withColumn("_least", F.min("node").over(of_key)).withColumn("_most", F.max("node").over(of_key)).withColumn("size", F.count("*").over(of_key).cast("int"))
     return both.where("_least <> _most").drop("_least", "_most").distinct()
 
 
+#: Of buckets of up to so many all pairs are tested at once. Two near items' n are of this ratio at most.
+FEW, BAND = 16, 1.25
+
+
 def components_by_keys(member: DataFrame, near: Column, test) -> DataFrame:
     """(node, component) of the nodes that are linked to another, of all pairs that share a key, are near and hold.
 
-    member: written (key, node, ...); near: a condition on x and y, two rows of member; test(edges) drops those that don't
-    hold. Each bucket's nodes are first tested against its first one, and then all its pairs that aren't connected yet, so
+    member: written (key, node, n, size, ...), size the same for a key and at least its count of nodes, or not there; near: a condition
+    on x and y, two rows of member, that a ratio of their n over BAND doesn't meet; test(edges) gives, written, those that
+    hold. All pairs of a bucket of up to FEW are tested.
+    A larger bucket's nodes are first tested against its first one, and then all its pairs that aren't connected yet, so
     a large group of near items doesn't give the square of its size and no pair is left untested that could connect two
     components.
     """
+    spark = member.sparkSession
+    if "size" not in member.columns:
+        member = member.withColumn("size", F.lit(FEW + 1))
 
-    def pairs(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
-        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr("x.key = y.key")).where(near & F.expr(where))
-        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    def pairs(x: DataFrame, y: DataFrame, where: str, on: str = "x.key = y.key") -> DataFrame:
+        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr(on)).where(near & F.expr(where))
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
+    few, many = member.where(f"size <= {FEW}"), member.where(f"size > {FEW}")
     row = F.struct("node", *[c for c in member.columns if c not in ("key", "node")])
-    first = member.groupBy("key").agg(F.min(row).alias("s")).select("key", "s.*")
-    edges = written(test(pairs(first, member, "x.node <> y.node")), "links")
+    first = many.groupBy("key").agg(F.min(row).alias("s")).select("key", "s.*")
+    edges = test(pairs(few, few, "x.node < y.node").union(pairs(first, many, "x.node <> y.node")).distinct())
+    release(spark)
     labels = written(connected_components(edges), "labels")
-    release(member.sparkSession)
-    own = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = written(test(pairs(own, own, "x.node < y.node and x.component <> y.component")), "links")
+    release(spark)
+    own = many.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # in a large bucket a row meets those of its own band of n and of the next one
+    own = own.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(BAND) + 1e-9).cast("int"))
+    wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", "x.key = y.key and x.at = y.band")
+    more = test(more.distinct())
     return labels if more.isEmpty() else connected_components(edges.union(more))

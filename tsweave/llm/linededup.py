@@ -2,74 +2,83 @@
 
 1. A text's lines are cut at line feeds and normalised: lower case, white space to single spaces, none at the ends.
    Equal normalised lines are one line from here on, known by a 64-bit hash.
-2. Candidates are pairs that share one of the rarest pairs of neighbouring words. An edit breaks at most two of these, so
-   of two lines within k edits each has, among its 2k + 1 rarest in one order for all lines, one that the other has
-   among its own (prefix_length() says how many exactly). So no pair is missed, whatever the data.
-3. Of these, pairs stay whose lengths and 128 parities of words let them be within k edits: an edit flips two at most.
-4. Pairs whose edit similarity over words, 1 - distance / longer length, reaches SIMILARITY are linked. Words are
+2. Fingerprints. A line has 128 parities of its words: bit i tells whether it has an odd number of words of class i. An
+   edit flips two at most, so lines within k edits are within 2k bits. (A SimHash gives no such bound: pairs at
+   similarity 0.8 lie up to 17 of its 64 bits apart, and pigeonhole blocks for that radius have under four bits.)
+3. Pigeonhole blocks. An edit breaks at most two pairs of neighbouring words. So of two lines within k edits each has,
+   among its 2k + 1 rarest pairs in one order for all lines, one that the other has among its own (prefix_length() says
+   how many exactly). So no pair is missed, whatever the data. Lines that share a block are candidates where lengths
+   and fingerprints let them be within k edits.
+4. Candidates whose edit similarity over words, 1 - distance / longer length, reaches SIMILARITY are linked. Words are
    compared by 20 bits of hash, one character each, so a line is a short string for the built-in edit distance.
-   To spare groups the square of their size, a bucket's lines are first tested against its first line; then all pairs of
-   a bucket are that aren't connected yet.
+   To spare groups the square of their size, a large bucket's lines are first tested against its first line; then all
+   its pairs are that aren't connected yet.
 5. Of each connected group the first occurrence stays, by doc_id and place; the others go.
+
+Blocks are numerous, two for each five words, and most are of one line only. They are shuffled as runs, each a batch's
+keys and lines of one range of keys as bytes, and a range is sorted in numpy, of which only shared keys go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release, text_or_empty, written
-from .components import components_by_keys, shared_keys
+from .common import bounded_batches, delete_table, fresh, join_with_hot, partitions, release, text_or_empty, written
+from .components import components_by_keys
 from .simhash import mixed
 
-#: Fingerprints no longer choose the candidates: all 64 bits may differ.
-RADIUS, BLOCKS = 64, 64
 SIMILARITY = 0.8
 #: Of about so many lines the commonest words are counted. The counts only order the pairs of words.
 SAMPLE, COMMON = 40_000, 65_536
+#: A range of keys has about so many; characters whose words are hashed at a time.
+RANGE, CHUNK = 1_000_000, 4_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def block_masks(radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
-    edge = [bits * i // blocks for i in range(blocks + 1)]
-    part = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(blocks)]
-    return [sum(c) for c in combinations(part, blocks - radius)]
-
-
-def line_fingerprints(lines: list[str]) -> tuple[np.ndarray, list[str]]:
-    """(SimHash of each line's words, the words as one character each). Distinct words of all the lines are hashed once."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    import xxhash
-
-    parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(w, 42) for w in words]), ">u8").astype(np.uint64)
-    bits = np.unpackbits(mixed(h)[:, None].view(np.uint8), axis=1, bitorder="little") if len(h) else np.zeros((0, 64), np.uint8)
-    bits = bits.view(np.uint64)  # eight counters in one sum, for up to 255 words
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    n = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    ends, out, first = np.cumsum(n), np.zeros(len(lines), np.uint64), 0
-    raw = codes(h)[index].astype("<u4").tobytes().decode("utf-32-le")
-    while first < len(lines):  # some hundred thousand words at a time
-        done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + 300_000)))
-        starts = np.concatenate(([0], ends[first:last] - done))[:-1]
-        pieces = -(-n[first:last] // 255)
-        lead = np.cumsum(pieces) - pieces
-        at = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(lead, pieces))
-        part = np.add.reduceat(bits[index[done : ends[last - 1]]], at, axis=0).view(np.uint8)
-        total = np.add.reduceat(part, lead, axis=0, dtype=np.int32)
-        out[first:last] = np.packbits(total * 2 > n[first:last, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        first = last
-    return out, [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+@cache
+def _byte_hashes() -> np.ndarray:
+    """A number for each byte at each of 64 places; none for the two that part words and lines."""
+    h = mixed(mixed(np.arange(64 * 256, dtype=np.uint64) + _ODD))
+    h = h.reshape(64, 256)
+    h[:, [10, 32]] = 0
+    return h.ravel()
+
+
+def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in turn, words of each line). lines: normalised, none empty."""
+    found, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for some in _some(lines):
+        b = np.frombuffer("\n".join(some).encode("utf-8", "surrogatepass"), np.uint8)
+        cut = np.flatnonzero((b == 32) | (b == 10))
+        starts = np.concatenate(([0], cut + 1))
+        length = np.diff(starts, append=len(b) + 1)  # with the byte that ends it
+        place = np.arange(len(b), dtype=np.int32) - np.repeat(starts.astype(np.int32), length)[: len(b)]
+        value = _byte_hashes()[(place & 63) << 8 | b]
+        if length.max() > 64:
+            value = value * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        found.append(mixed(np.add.reduceat(value, starts) + length.astype(np.uint64) * _ODD))
+        last = np.append(np.flatnonzero(b[cut] == 10), len(starts) - 1)
+        count.append(np.diff(last, prepend=-1))
+    return np.concatenate(found), np.concatenate(count)
+
+
+def _some(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines of about CHUNK characters together."""
+    run, size = [], 0
+    for x in lines:
+        run.append(x)
+        size += len(x)
+        if size >= CHUNK:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def codes(h: np.ndarray) -> np.ndarray:
@@ -79,22 +88,15 @@ def codes(h: np.ndarray) -> np.ndarray:
 
 def coded_lines(lines: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(the words as one character each, how many, 128 parities: bit i of a line's, whether it has an odd number of words i)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    import xxhash
-
-    parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
-    coded = parts.flatten().dictionary_encode()
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(w, 42) for w in coded.dictionary.to_pylist()]), ">u8").astype(np.uint64)
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    h, n = hashed_words(lines)
+    if not len(n):
+        return [], n, np.zeros((0, 2), np.uint64)
     c = codes(h)
     at = c & np.uint32(127)
     odd = np.where((at >> 6)[:, None] == np.arange(2), np.uint64(1) << (at & np.uint32(63)).astype(np.uint64)[:, None], np.uint64(0))
     ends = np.cumsum(n)
-    raw = c[index].astype("<u4").tobytes().decode("utf-32-le")
-    return [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], n, np.bitwise_xor.reduceat(odd[index], ends - n, axis=0)
+    raw = c.astype("<u4").tobytes().decode("utf-32-le")
+    return [raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], n, np.bitwise_xor.reduceat(odd, ends - n, axis=0)
 
 
 def allowed(n: int, similarity: float) -> int:
@@ -113,81 +115,173 @@ def prefix_length(n: int, similarity: float) -> int:
     return min(n - 1, max((n - m + 2 * allowed(m, similarity) + 1 for m in near), default=0))
 
 
-def pair_keys(coded: list[str], counted: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+#: Four times the base-2 logarithm of a sample's words, about: how much rarer a pair is than the product of its words' counts.
+_EXPECTED = 84
+
+
+def _counted(found: np.ndarray, counted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The logarithm that counted (values in order, logarithms) has for each value of found, or 0."""
+    known, log = counted
+    if not len(known):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return np.where(known[at] == found, log[at], 0).astype(np.int64)
+
+
+def pair_keys(coded: list[str], words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(line's place, key): the rarest pairs of neighbouring words of each line. The second of an equal pair is another one.
 
-    counted: codes, sorted, and a logarithm of their counts.
+    words, pairs: those that a sample has more than once, in order, and logarithms of their counts. A pair is as common
+    as the sample or else its words say: a passage that many lines share is of rare words, but its pairs are common.
     """
     n = np.array([len(x) for x in coded], np.int64)
     word = np.frombuffer("".join(coded).encode("utf-32-le"), "<u4")
     own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     first = np.flatnonzero(own[1:] == own[:-1])
     own = own[first]
-    key = mixed(word[first].astype(np.uint64) << np.uint64(32) | word[first + 1])
-    known, log = counted
-    at = np.minimum(np.searchsorted(known, word), len(known) - 1) if len(known) else np.zeros(len(word), np.int64)
-    log = np.where(known[at] == word, log[at], 0) if len(known) else at
-    rare = (log[first] + log[first + 1]).astype(np.uint64)
-
-    def order(*columns: tuple[np.ndarray, int]) -> np.ndarray:
-        place = own
-        for column, bits in columns:
-            place = place << np.uint64(bits) | column
-        return np.argsort(place)
-
-    o = order((key >> np.uint64(20), 44))
-    own, key, rare = own[o], key[o], rare[o]
-    new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))[: len(own)]
-    place = np.arange(len(own))
-    again = place - np.maximum.accumulate(np.where(new, place, 0)) if len(own) else place
-    key = np.where(again > 0, mixed(key + again.astype(np.uint64)), key)
-    o = order((rare, 8), (key >> np.uint64(28), 36))
+    pair = word[first].astype(np.uint64) << np.uint64(32) | word[first + 1]
+    key = mixed(pair)
+    log = _counted(word, words)
+    told = _counted(pair, pairs)
+    rare = np.minimum(np.maximum(log[first] + log[first + 1], np.where(told > 0, told + _EXPECTED, 0)), 255).astype(np.uint64)
+    o = np.argsort(own << np.uint64(44) | rare << np.uint64(36) | key >> np.uint64(28))
     own, key = own[o].astype(np.int64), key[o]
+    # an equal pair is beside it, being as rare: the second is another one
+    new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))[: len(own)]
+    if not new.all():
+        place = np.arange(len(own))
+        again = place - np.maximum.accumulate(np.where(new, place, 0))
+        key = np.where(again > 0, mixed(key + again.astype(np.uint64)), key)
     lead = np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0)
-    most = np.array([prefix_length(x, similarity) for x in n.tolist()], np.int64)
+    length, of = np.unique(n, return_inverse=True)
+    most = np.array([prefix_length(x, similarity) for x in length.tolist()], np.int64)[of] if len(n) else n
     kept = np.arange(len(own)) - lead[own] < most[own]
     return own[kept], key[kept]
 
 
-def _rid():
-    return F.xxhash64("doc_id", "text").alias("rid")
+def runs(own: np.ndarray, key: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
+    """(range, run): the keys and lines of each range of keys, 48 bits of a key and 64 of a line, one after another."""
+    at = (key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    o = np.argsort(at, kind="stable")
+    at, key, own = at[o], key[o], own[o]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))[: len(at)]
+    ends = np.append(first, len(at))[1:] if len(at) else first
+    low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6]
+    return at[first].astype(np.int64), [low[a:b].tobytes() + own[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+
+
+class SharedKeys:
+    """The (key, node, size) of one range whose key more than one node has, from its runs in turn.
+
+    size: how many nodes a key has; of a range that is larger than `most`, for which not all runs are held at a time but
+    one node of each key, it is a number above any. A key that very many lines share passes through in parts.
+    """
+
+    def __init__(self, at: int, most: int):
+        self.at, self.most, self.held, self.size, self.parts = at, most, [], 0, 0
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def add(self, run: bytes) -> pd.DataFrame | None:
+        n = len(run) // 14
+        low = np.zeros((n, 8), np.uint8)
+        low[:, :6] = np.frombuffer(run, np.uint8, 6 * n).reshape(n, 6)
+        self.held.append((low.view(np.uint64)[:, 0], np.frombuffer(run, np.int64, n, 6 * n)))
+        self.size += n
+        return self.flush(False) if self.size >= self.most else None
+
+    def flush(self, last: bool) -> pd.DataFrame:
+        old, old_node, told = self.known
+        key = np.concatenate([old, *[k for k, _ in self.held]])
+        node = np.concatenate([old_node, *[x for _, x in self.held]])
+        new = np.arange(len(key)) >= len(old)
+        new[: len(old)] = ~told
+        self.held, self.size = [], 0
+        o = np.argsort(key, kind="stable")
+        key, node, new = key[o], node[o], new[o]
+        start = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+        first = np.flatnonzero(start)
+        count = np.diff(np.append(first, len(key)))
+        mixed_group = np.zeros(len(first), bool)
+        if len(key):
+            several = np.repeat(node[first], count) != node
+            mixed_group = np.logical_or.reduceat(several, first)
+        whole = last and not self.parts
+        if not last:
+            self.known = key[first], node[first], mixed_group
+        self.parts += 1
+        take = np.repeat(mixed_group, count)
+        key, node, new = key[take], node[take], new[take]
+        o = np.lexsort((node, key))
+        key, node, new = key[o], node[o], new[o]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]
+        shown = np.logical_or.reduceat(new, np.flatnonzero(once)) if len(key) else new
+        key, node = key[once], node[once]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key)))) if whole else np.full(len(key), np.iinfo(np.int32).max)
+        key = mixed(key + (np.uint64(self.at) << np.uint64(48))).view(np.int64)
+        return pd.DataFrame({"key": key[shown], "node": node[shown], "size": size[shown].astype(np.int32)})
 
 
 def verified(edges: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """The edges (a, b) whose lines (h, coded) are similar enough."""
     x, y = (lines.select(F.col("h").alias(c), F.col("coded").alias(v)) for c, v in ("ax", "by"))
     both = edges.join(x, "a").join(y, "b")
-    most = f"cast(greatest(length(x), length(y)) * {1 - least} + 1e-9 as int)"
+    most = f"cast(greatest(length(x), length(y)) * {1 - least}D + 1e-9D as int)"
     return both.where(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0").select("a", "b")
 
 
+def _common(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest of the strings w of one or two characters, as numbers in order, and logarithms of their counts."""
+    rows = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()
+    value = np.array([ord(r.w[0]) if len(r.w) == 1 else ord(r.w[0]) << 32 | ord(r.w[1]) for r in rows], np.uint64)
+    log = np.array([min(120, int(4 * np.log2(r.n))) for r in rows], np.uint8)
+    o = np.argsort(value)
+    return value[o], log[o]
+
+
 def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
-    """(key, node): lines that share a key with another, by each such key. lines: (h, coded), where a line may recur."""
-    few = max(1, lines.count() // SAMPLE)
-    common = lines.where(f"pmod(xxhash64(h), {few}) = 0").select(F.explode(F.split("coded", "")).alias("w")).where("w <> ''")
-    common = common.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()
-    known = np.array([ord(r.w) for r in common], np.uint32)
-    log = np.array([min(120, int(4 * np.log2(r.n))) for r in common], np.uint8)
-    o = np.argsort(known)
-    counted = known[o], log[o]
+    """Written (key, node, size): lines that share a key with another, by each such key. lines: (h, n, coded), where a line may recur."""
+    total = lines.agg(F.count("*").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    few = max(1, total.lines // SAMPLE)
+    sample = written(lines.where(f"pmod(xxhash64(h), {few}) = 0").select("coded"), "line-sample")
+    words = _common(sample.select(F.explode(F.split("coded", "")).alias("w")).where("w <> ''"))
+    pairs = _common(sample.where("length(coded) > 1").select(F.explode(F.expr("transform(sequence(1, length(coded) - 1), i -> substring(coded, i, 2))")).alias("w")))
+    keys = int(2 * (1 - similarity) * total.words) + total.lines
+    ranges = max(partitions(lines.sparkSession), -(-keys // RANGE))
+    most = 4 * RANGE
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, key = pair_keys(pdf["coded"].tolist(), words, pairs, similarity)
+            at, found = runs(pdf["h"].to_numpy()[own], key, ranges)
+            yield pd.DataFrame({"at": at, "run": found})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = None
         for pdf in batches:
-            own, key = pair_keys(pdf["coded"].tolist(), counted, similarity)
-            yield pd.DataFrame({"key": key.view(np.int64), "node": pdf["h"].to_numpy()[own]})
+            for at, run in zip(pdf["at"].tolist(), pdf["run"], strict=True):
+                if here is None or here.at != at:
+                    if here is not None:
+                        yield here.flush(True)
+                    here = SharedKeys(at, most)
+                if (part := here.add(run)) is not None:
+                    yield part
+        if here is not None:
+            yield here.flush(True)
 
-    keys = lines.select("h", "coded").mapInPandas(run, "key long, node long")
-    return shared_keys(keys)
+    run = lines.select("h", "coded").mapInPandas(cut, "at long, run binary")
+    run = run.repartition(partitions(lines.sparkSession), "at").sortWithinPartitions("at")
+    return written(run.mapInPandas(join, "key long, node long, size int"), "shared-keys")
 
 
 def within_edits(similarity: float):
     """Whether the rows x and y (n, odd, odd2) may be lines of this similarity, by their lengths and parities of words."""
-    most = f"cast(greatest(x.n, y.n) * {1 - similarity} + 1e-9 as int)"
+    most = f"cast(greatest(x.n, y.n) * {1 - similarity}D + 1e-9D as int)"  # D: a double, as decimals are slow
     return F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most}")
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, gone): for each row with lines to go, their places from 0, in order."""
+    """Written (rid, gone): for each row with lines to go, their places from 0, in order. Rows are known by row_hash()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -209,27 +303,49 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
             yield own
 
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), _rid(), "text")
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), row_hash(id_col, text_col).alias("rid"), text_or_empty(text_col).alias("text"))
     seen = texts.mapInPandas(run, "doc_id string, rid long, line int, h long, n int, odd long, odd2 long, coded string")
     seen = written(seen.withColumn("doc_id", F.col("doc_id").cast("long")), "lines", compression="zstd")
-    distinct = written(seen.groupBy("h").agg(F.min("odd").alias("odd"), F.min("odd2").alias("odd2"), F.min("n").alias("words"), F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    lines = seen.where("coded is not null").select("h", "coded")
-    about = distinct.select(F.col("h").alias("node"), F.col("words").alias("n"), "odd", "odd2")
-    member = written(bucket_members(lines, similarity).join(about.hint("shuffle_merge"), "node"), "bucket-members")
+    distinct = written(seen.groupBy("h").agg(F.min("odd").alias("odd"), F.min("odd2").alias("odd2"), F.min("n").alias("n"), F.count("*").alias("times")), "distinct-lines")
+    lines = seen.where("coded is not null").select("h", "n", "coded")
+    about = distinct.select(F.col("h").alias("node"), "n", "odd", "odd2")
+    keys = bucket_members(lines, similarity)
+    release(docs.sparkSession)
+    member = written(keys.join(about.hint("shuffle_merge"), "node"), "bucket-members")
+    delete_table(keys)
     release(docs.sparkSession)
 
     def test(edges: DataFrame) -> DataFrame:
         edges = written(edges, "line-pairs")
+        release(docs.sparkSession)
         wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
-        return verified(edges, written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes"), similarity)
+        code = written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes")
+        release(docs.sparkSession)
+        held = written(verified(edges, code, similarity), "links")
+        delete_table(code)
+        delete_table(edges)
+        return held
 
     label = written(components_by_keys(member, within_edits(similarity), test), "line-groups")
-    group = label.join(distinct, label.node == distinct.h).groupBy("component").agg(F.min("first").alias("first"))
-    first = label.join(group, "component").select(F.col("node").alias("h"), F.col("first").alias("of_group"))
+    delete_table(member)
+    release(docs.sparkSession)
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences
-    known = distinct.join(first, "h", "left").where("n > 1 or of_group is not null").select("h", F.coalesce("of_group", "first").alias("first"))
-    gone = seen.join(known, "h").where("not (doc_id <=> first.doc_id and line = first.line and rid = first.rid)")
-    return gone.select("rid", "line").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    known = distinct.join(label.select(F.col("node").alias("h"), "component"), "h", "left").where("times > 1 or component is not null")
+    known = known.select("h", F.coalesce("component", "h").alias("group"), "times")
+    total = seen.count()
+    found = written(join_with_hot(seen.select("doc_id", "rid", "line", "h"), known, "h", "times", total).drop("h", "times"), "occurrences")
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.count("*").alias("times"))
+    gone = join_with_hot(found, written(first, "first-lines"), "group", "times", total)
+    gone = gone.where("not (doc_id <=> first.doc_id and line = first.line and rid = first.rid)")
+    gone = written(gone.select("rid", "line").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("line")).alias("gone")), "lines-to-go")
+    for t in (seen, distinct, label, found):
+        delete_table(t)
+    release(docs.sparkSession)
+    return gone
+
+
+def row_hash(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
 
 
 def without_repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,12 +353,15 @@ def without_repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, i
 
     Defined results: blank lines stay; a null text stays null, with 0 lines; a text whose every line is repeated becomes
     empty, or keeps its blank lines; rows with the same identifier and text are one document, so both keep or lose the
-    same lines; a null identifier sorts first; an empty table gives no rows.
+    same lines; a null identifier sorts first; an empty table gives no rows; other columns stay, whatever their names.
     """
     gone = repeated_lines(docs, similarity=similarity, id_col=id_col, text_col=text_col)
-    own = docs.withColumn("_rid", F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)))
-    own = own.join(gone.select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone")), "_rid", "left")
+    rid, places = fresh(docs, "rid"), fresh(docs, "gone")
+    own = docs.withColumn(rid, row_hash(id_col, text_col)).join(gone.select(F.col("rid").alias(rid), F.col("gone").alias(places)), rid, "left")
     parts = F.split(text_col, "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    counted = own.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    return counted.withColumn("n_removed", F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long")).withColumn(text_col, kept).drop("_rid", "_gone")
+    # the array of one array binds the parts, which are then cut once and not for each line
+    stay = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(places)), lambda i: p[i]), "\n"))[0]
+    kept = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(stay)
+    counted = own.withColumn("n_lines", F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1, F.lit(0)).cast("long"))
+    counted = counted.withColumn("n_removed", F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long"))
+    return counted.withColumn(text_col, kept).drop(rid, places)

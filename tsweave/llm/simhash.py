@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         x, y = (items.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
         half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
         apart = F.expr(f"aggregate(zip_with({half.format('oa', 'ob')}, {half.format('ob', 'oa')}, (p, q) -> bit_count(p ^ q)), 0, (t, i) -> t + i)")
-        edges = edges.join(x, "a").join(y, "b").where(apart <= F.expr(f"{1 - similarity} / {1 + similarity} * (na + nb) + 1e-9")).select("a", "b")
+        edges = edges.join(x, "a").join(y, "b").where(apart <= F.expr(f"{(1 - similarity) / (1 + similarity)}D * (na + nb) + 1e-9D")).select("a", "b")
         edges = written(edges, "document-pairs")
         wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         ids = items.join(wanted, "node", "left_semi").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
@@ -260,9 +260,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         whole = written(whole.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
         x, y = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         both = edges.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        return both.where(f"shared >= {similarity} * (size(sa) + size(sb) - shared) - 1e-9").select("a", "b")
+        return written(both.where(f"shared >= {similarity}D * (size(sa) + size(sb) - shared) - 1e-9D").select("a", "b"), "links")
 
-    near = F.expr(f"least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9")
+    near = F.expr(f"least(x.n, y.n) >= {similarity}D * greatest(x.n, y.n) - 1e-9D")
     label = written(components_by_keys(member, near, test), "document-groups")
     item = items.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = item.groupBy("component").agg(F.min("doc_id").alias("component_id"))
