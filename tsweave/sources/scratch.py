@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 from ..errors import ConfigurationError
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path that no other job uses, in the folder that spark.checkpoint.dir names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors see.
 
     Where it is unset and Spark runs in one process, as in tests, a temporary folder becomes it; on a cluster that is an error.
     """
@@ -24,4 +24,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ConfigurationError("spark.checkpoint.dir names no shared folder")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other job uses."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
