@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or, where it is unset (one machine), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..sources.scratch import scratch, shared_dir
 
-
-def _context_dir(spark: SparkSession) -> str | None:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else None
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run, task or operator uses."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
