@@ -352,7 +352,15 @@ def _histories(spark, sf):
     return discovery.evaluate(I.wide(spark, sf), ["f", "o", "p"], names)[0]
 
 
-@query()
+HISTORIES = with_("wide", """, c AS (SELECT 'f~o' AS name, t, f AS a, o AS s FROM wide UNION ALL SELECT 'f~o*p/o', t, f, o*p/nullif(o,0) FROM wide UNION ALL SELECT 'o~p', t, o, p FROM wide),
+h0 AS (SELECT *, a-s AS d, a/nullif(lag(a) OVER w,0)-1 AS ra, s/nullif(lag(s) OVER w,0)-1 AS rs, CASE WHEN a>0 AND lag(a) OVER w>0 THEN ln(a/lag(a) OVER w) END AS lr, a-first_value(a) OVER w AS ca, s-first_value(s) OVER w AS cs FROM c WINDOW w AS (PARTITION BY name ORDER BY t)),
+h1 AS (SELECT *, CASE WHEN count(d) OVER w=20 THEN (d-avg(d) OVER w)/nullif(stddev_pop(d) OVER w,0) END AS z, coalesce(CASE WHEN count(d) OVER w>=5 THEN stddev_pop(d) OVER w END,0.0) AS dv, CASE WHEN count(rs) OVER w=20 THEN covar_samp(ra,rs) OVER w/nullif(var_samp(rs) OVER w,0) END AS beta, CASE WHEN count(lr) OVER w=20 THEN stddev_pop(lr) OVER w END AS v FROM h0 WINDOW w AS (PARTITION BY name ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+h2 AS (SELECT *, count(*) OVER u AS n, sum(ca) OVER u AS sa, sum(cs) OVER u AS sb, sum(ca*cs) OVER u AS sab, sum(ca*ca) OVER u AS saa, sum(cs*cs) OVER u AS sbb, quantile_cont(v,0.2) OVER u AS q1, quantile_cont(v,0.8) OVER u AS q2 FROM h1 WINDOW u AS (PARTITION BY name ORDER BY t ROWS UNBOUNDED PRECEDING)),
+h3 AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN q1=q2 THEN 'normal' WHEN v<=q1 THEN 'low' WHEN v>=q2 THEN 'high' ELSE 'normal' END AS regime FROM h2)
+SELECT name, t, round(a,4) AS actual, round(s,4) AS synthetic, round(d,4) AS discrepancy, round(abs(d),4) AS abs_discrepancy, round(z,4) AS zscore, round(dv,4) AS discrepancy_volatility, round(beta,4) AS rolling_beta, round(CASE WHEN n>=10 THEN greatest(-1.0,least(1.0,(sab-sa*sb/n)/nullif(sqrt(greatest(saa-sa*sa/n,0)*greatest(sbb-sb*sb/n,0)),0))) END,4) AS correlation, regime, CASE regime WHEN 'low' THEN -1.0 WHEN 'high' THEN 1.0 WHEN 'normal' THEN 0.0 END::DOUBLE AS volatility_regime, round(lead(abs(z)) OVER (PARTITION BY name ORDER BY t),4) AS next_abs_zscore FROM h3""")
+
+
+@query(HISTORIES)
 def candidate_histories(spark, sf):
     return rounded(_histories(spark, sf), 4)
 
