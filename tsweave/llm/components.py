@@ -58,19 +58,19 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return both.where("_least <> _most").drop("_least", "_most").distinct()
 
 
-#: Of buckets of up to so many all pairs are tested at once. Two near items' n are of this ratio at most.
-FEW, BAND = 16, 1.25
+#: Of buckets of up to so many all pairs are tested at once.
+FEW = 16
 
 
-def components_by_keys(member: DataFrame, near: Column, test) -> DataFrame:
+def components_by_keys(member: DataFrame, near: Column, test, ratio: float | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked to another, of all pairs that share a key, are near and hold.
 
     member: written (key, node, n, size, ...), size the same for a key and at least its count of nodes, or not there; near: a condition
-    on x and y, two rows of member, that a ratio of their n over BAND doesn't meet; test(edges) gives, written, those that
-    hold. All pairs of a bucket of up to FEW are tested.
-    A larger bucket's nodes are first tested against its first one, and then all its pairs that aren't connected yet, so
-    a large group of near items doesn't give the square of its size and no pair is left untested that could connect two
-    components.
+    on x and y, two rows of member, that a ratio of their n over `ratio`, if given, doesn't meet; test(edges) gives, written, those that
+    hold. All pairs of a bucket of up to FEW are tested. In a larger one a row meets only those of its own band of n and
+    of the next, as others can't be near. Its nodes are first tested against up to three of each band, and then all its
+    pairs that aren't connected yet, so a large group of near items doesn't give the square of its size, though some of
+    the bucket be like none, and no pair is left untested that could connect two components.
     """
     spark = member.sparkSession
     if "size" not in member.columns:
@@ -81,16 +81,19 @@ def components_by_keys(member: DataFrame, near: Column, test) -> DataFrame:
         return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     few, many = member.where(f"size <= {FEW}"), member.where(f"size > {FEW}")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio) + 1e-9).cast("int") if ratio else F.lit(0)
+    many = many.withColumn("band", band)
     row = F.struct("node", *[c for c in member.columns if c not in ("key", "node")])
-    first = many.groupBy("key").agg(F.min(row).alias("s")).select("key", "s.*")
-    edges = test(pairs(few, few, "x.node < y.node").union(pairs(first, many, "x.node <> y.node")).distinct())
+    first = many.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"))
+    first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("s"))
+    first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
+    in_band = "x.key = y.key and x.at = y.band"
+    edges = test(pairs(few, few, "x.node < y.node").union(pairs(first, many, "x.node <> y.node", in_band)).distinct())
     release(spark)
     labels = written(connected_components(edges), "labels")
     release(spark)
     own = many.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # in a large bucket a row meets those of its own band of n and of the next one
-    own = own.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(BAND) + 1e-9).cast("int"))
     wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", "x.key = y.key and x.at = y.band")
+    more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", in_band)
     more = test(more.distinct())
     return labels if more.isEmpty() else connected_components(edges.union(more))

@@ -36,6 +36,8 @@ from .simhash import mixed
 SIMILARITY = 0.8
 #: Of about so many lines the commonest words are counted. The counts only order the pairs of words.
 SAMPLE, COMMON = 40_000, 65_536
+#: Lines of candidates, of 8 bytes each, whose words are looked up by a broadcast.
+MOST_BROADCAST = 1_000_000
 #: A range of keys has about so many; characters whose words are hashed at a time.
 RANGE, CHUNK = 1_000_000, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -319,6 +321,8 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
         edges = written(edges, "line-pairs")
         release(docs.sparkSession)
         wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
+        if wanted.count() <= MOST_BROADCAST:  # beyond, the lines are shuffled
+            wanted = F.broadcast(wanted)
         code = written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes")
         release(docs.sparkSession)
         held = written(verified(edges, code, similarity), "links")
@@ -326,7 +330,7 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
         delete_table(edges)
         return held
 
-    label = written(components_by_keys(member, within_edits(similarity), test), "line-groups")
+    label = written(components_by_keys(member, within_edits(similarity), test, 1 / similarity), "line-groups")
     delete_table(member)
     release(docs.sparkSession)
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences

@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         return written(both.where(f"shared >= {similarity}D * (size(sa) + size(sb) - shared) - 1e-9D").select("a", "b"), "links")
 
     near = F.expr(f"least(x.n, y.n) >= {similarity}D * greatest(x.n, y.n) - 1e-9D")
-    label = written(components_by_keys(member, near, test), "document-groups")
+    label = written(components_by_keys(member, near, test, 1 / similarity), "document-groups")
     item = items.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = item.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.select("doc_id", "node").join(item.join(first, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
