@@ -51,22 +51,27 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "media")
 
 
+def _blocks(batches: Iterator[pd.DataFrame], keys: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """The blocks of every stream of the column media, one stream after another, with the keys of its row."""
+    columns = [*keys, "block", "sample_offset", "n_samples", "pcm"]
+    for pdf in batches:
+        for some in _some(list(pdf[[*keys, "media"]].itertuples(index=False)), lambda x: len(x.media)):
+            rows = []
+            for own, blocks in zip(some, flac.decode([x.media for x in some]), strict=True):
+                rows += [(*own[: len(keys)], n, s, len(x), x.astype(np.int8).tobytes()) for n, (s, x) in enumerate(blocks)]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+
 def pcm_blocks(media: DataFrame, *keys: str) -> DataFrame:
     """(keys, block, sample_offset, n_samples, pcm): the blocks of every stream, decoded and verified, by sample offset.
 
     A reader who wants sample s of a stream needs the one block with sample_offset <= s < sample_offset + n_samples. A
     stream that isn't FLAC or whose checksums don't hold stops the job with flac.Broken; a null stream gives no rows.
     """
-    columns = [*keys, "block", "sample_offset", "n_samples", "pcm"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for some in _some(list(pdf.itertuples(index=False)), lambda x: len(x.media)):
-                rows = []
-                for own, blocks in zip(some, flac.decode([x.media for x in some]), strict=True):
-                    rows += [(*own[: len(keys)], n, s, len(x), x.astype(np.int8).tobytes()) for n, (s, x) in enumerate(blocks)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+        return _blocks(batches, keys)
 
     bounded_batches(media.sparkSession)
     kept = media.select(*[F.col(k).cast("string").alias(k) for k in keys], "media").where("media is not null")
@@ -116,18 +121,19 @@ class _Sums:
 def media_features(media: DataFrame) -> DataFrame:
     """What the stored streams hold: payload, checksums, and a feature of the samples (mean square, zero crossings, peaks).
 
-    The streams are read as pcm_blocks(), whose blocks follow one another in a task, and added up block by block, so only
-    a block is held; each must start where the one before ends. Equal texts give equal values. Null texts count as empty,
+    The streams are read as the blocks of pcm_blocks(), in the same Python worker, and added up block by block; each must
+    start where the one before ends. Equal texts give equal values. Null texts count as empty,
     and an empty text is 64 zero bytes; rows with a null or repeated identifier are stored each; an empty table gives no
     rows; other columns are not read.
     """
+    keys = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: _Sums | None = None
-        for pdf in batches:
+        for pdf in _blocks(batches, keys):
             rows = []
-            for doc, n_bytes, media_bytes, digest, block, offset, pcm in pdf.itertuples(index=False):
+            for doc, n_bytes, media_bytes, digest, block, offset, _, pcm in pdf.itertuples(index=False):
                 if block == 0:
                     if sums:
                         rows.append(sums.row())
@@ -139,6 +145,6 @@ def media_features(media: DataFrame) -> DataFrame:
             yield pd.DataFrame([sums.row()], columns=names)
 
     own = media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    blocks = pcm_blocks(own, "doc_id", "n_bytes", "media_bytes", "media_sha256").select("doc_id", "n_bytes", "media_bytes", "media_sha256", "block", "sample_offset", "pcm")
-    found = blocks.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    bounded_batches(media.sparkSession)
+    found = own.where("media is not null").mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
