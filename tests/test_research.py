@@ -100,6 +100,21 @@ def test_families_against_definitions(spark):
     assert [round(got["fdr_bh"][i], 6) for i in range(5)] == [0.025, 0.05, 0.05, 0.025, 0.5]
 
 
+def test_benjamini_yekutieli_in_a_large_family(spark):
+    """Two families of unlike sizes; no row adds up a harmonic number by itself."""
+    rows = [(k, i, (i * 37 % 997 + 1) / 99_700) for k, n in ((0, 3_000), (1, 7)) for i in range(n)]
+    adjusted = multiplicity.adjust(spark.createDataFrame(rows, "family int, position int, p_value double"), "fdr_by", by=("family",))
+    assert "sequence(" not in adjusted._jdf.queryExecution().toString() and "_h" not in adjusted.columns
+    got = {(r.family, r.position): r.adjusted_p for r in adjusted.collect()}
+    for k, n in ((0, 3_000), (1, 7)):
+        own = sorted((p, i) for f, i, p in rows if f == k)
+        harmonic, least = sum(1 / j for j in range(1, n + 1)), 1.0
+        for rank in range(n, 0, -1):
+            p, i = own[rank - 1]
+            least = min(least, p * n / rank * harmonic)
+            assert abs(got[k, i] - least) < 1e-12
+
+
 def test_formulas():
     n = formula.parse('a + b * c / ("d e" - 100)')
     assert n.symbols() == {"a", "b", "c", "d e", "100"}

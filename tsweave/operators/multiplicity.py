@@ -39,8 +39,10 @@ def adjust(family: DataFrame, method: str, alpha: float = 0.05, by: tuple[str, .
         down = Window.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
         raw = F.min(p * m / i).over(down)
         if method == "fdr_by":
-            raw = F.min(p * m / i * F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda s, k: s + 1 / k.cast("double"))).over(down)
-    out = out.withColumn("adjusted_p", F.least(F.lit(1.0), raw)).drop("_n")
+            # the harmonic number of the family's size is the sum over its ranks: one term a row, not n terms for each
+            out = out.withColumn("_h", F.sum(1 / i.cast("double")).over(Window.partitionBy(*by)))
+            raw = F.min(p * m / i * F.col("_h")).over(down)
+    out = out.withColumn("adjusted_p", F.least(F.lit(1.0), raw)).drop("_n", "_h")
     return out.withColumn("rejected", F.col("adjusted_p") <= alpha)
 
 
