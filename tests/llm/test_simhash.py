@@ -156,3 +156,50 @@ def test_near_duplicates_by_exact_jaccard(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_of_the_pipeline_by_simhash_first(spark, monkeypatch):
+    """Texts whose fingerprints link are connected by these, and the exact way has none of their pairs; the rest are its own."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    t = [rng.choice(words) for _ in range(2_000)]
+    texts = [" ".join([*t[:at], rng.choice(words), *t[at + 1 :]]) for at in range(0, 2_000, 50)]
+    u = [rng.choice(words) for _ in range(60)]
+    texts += [" ".join(u), " ".join([*u[:30], "other", *u[31:]]), " ".join(rng.choice(words) for _ in range(60))]
+    linked, tested = [], []
+    links, whole = S.links, S.by_whole_sets
+
+    def counted(*a):
+        test = whole(*a)
+
+        def run(edges):
+            tested.append(edges.count())
+            return test(edges)
+
+        return run
+
+    monkeypatch.setattr(S, "links", lambda items, *a, **b: linked.append(items.count()) or links(items, *a, **b))
+    monkeypatch.setattr(S, "by_whole_sets", counted)
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {0, 40, 42} and linked == [43]
+    assert len(tested) == 4 and sum(tested[2:]) < sum(tested[:2])
+
+
+def test_pairs_that_share_too_few_keys_are_not_tested(spark):
+    """Large buckets and small ones count together; known edges and what they connect aren't tested again."""
+    big = [(k, i, 10, 20) for k in (1, 2) for i in range(20)]
+    small = [(k, i, 10, 2) for k in (3, 4, 5) for i in (0, 19)] + [(6, i, 10, 2) for i in (30, 31)]
+    member = spark.createDataFrame([*big, *small], "key long, node long, n int, size int")
+    known = spark.createDataFrame([(i, 1) for i in range(2, 19)], "a long, b long")
+    tested = []
+
+    def test(edges):
+        tested.append({(r.a, r.b) for r in edges.collect()})
+        return edges.where("a = 0 and b = 19")
+
+    got = components_by_keys(member, F.expr("x.n = y.n"), test, 1.25, known, F.expr("times >= 5"))
+    assert {r.node: r.component for r in got.collect()} == {0: 0, 19: 0} | {i: 1 for i in range(1, 19)}
+    assert all(not 1 <= a <= b <= 18 for some in tested for a, b in some) and tested[1] == set()

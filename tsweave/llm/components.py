@@ -62,15 +62,18 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 FEW = 16
 
 
-def components_by_keys(member: DataFrame, near: Column, test, ratio: float | None = None) -> DataFrame:
+def components_by_keys(member: DataFrame, near: Column, test, ratio: float | None = None, known: DataFrame | None = None, enough: Column | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked to another, of all pairs that share a key, are near and hold.
 
     member: written (key, node, n, size, ...), size the same for a key and at least its count of nodes, or not there; near: a condition
     on x and y, two rows of member, that a ratio of their n over `ratio`, if given, doesn't meet; test(edges) gives, written, those that
     hold. All pairs of a bucket of up to FEW are tested. In a larger one a row meets only those of its own band of n and
-    of the next, as others can't be near. Its nodes are first tested against up to three of each band, and then all its
-    pairs that aren't connected yet, so a large group of near items doesn't give the square of its size, though some of
-    the bucket be like none, and no pair is left untested that could connect two components.
+    of the next, as others can't be near. Its nodes are first tested against up to four of each band, of which one has
+    the most in common with others, and then all its pairs that aren't connected yet, so a large group of near items
+    doesn't give the square of its size, though some of the bucket be like none, and no pair is left untested that could
+    connect two components.
+    known: written edges (a, b) that hold. enough: a condition, without which a pair can't hold, on times, the keys that it
+    shares, and least and most, the n of its two nodes; pairs but those of the first test are held against it.
     """
     spark = member.sparkSession
     if "size" not in member.columns:
@@ -78,22 +81,40 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
 
     def pairs(x: DataFrame, y: DataFrame, where: str, on: str = "x.key = y.key") -> DataFrame:
         both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr(on)).where(near & F.expr(where))
-        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.n", "y.n").alias("least"), F.greatest("x.n", "y.n").alias("most"))
 
     few, many = member.where(f"size <= {FEW}"), member.where(f"size > {FEW}")
+    columns = [c for c in member.columns if c not in ("key", "node")]
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio) + 1e-9).cast("int") if ratio else F.lit(0)
     many = many.withColumn("band", band)
-    row = F.struct("node", *[c for c in member.columns if c not in ("key", "node")])
-    first = many.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"))
-    first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("s"))
+    if known is not None:
+        many = many.join(connected_components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        columns.append("component")
+    # a copy with edits has lost some of the keys that the others share
+    shared = F.sum(F.least("size", F.lit(1 << 20)).cast("long")).over(Window.partitionBy("node"))
+    many = written(many.withColumn("shared", shared), "large-buckets")
+    row = F.struct("node", *columns)
+    first = many.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"), F.max_by(row, F.struct("shared", "node")).alias("d"))
+    first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("s"))
     first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
     in_band = "x.key = y.key and x.at = y.band"
-    edges = test(pairs(few, few, "x.node < y.node").union(pairs(first, many, "x.node <> y.node", in_band)).distinct())
+    apart = "x.node <> y.node" if known is None else "x.component <> y.component"
+    several = pairs(few, few, "x.node < y.node")
+    tried = pairs(first, many, apart, in_band)
+    if enough is None:
+        tried, several = several.union(tried), None
+    edges = test(tried.select("a", "b").distinct())
+    if known is not None:
+        edges = edges.union(known)
     release(spark)
     labels = written(connected_components(edges), "labels")
     release(spark)
-    own = many.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = many.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", in_band)
-    more = test(more.distinct())
+    if enough is None:
+        more = more.select("a", "b").distinct()
+    else:
+        more = more.union(several).groupBy("a", "b", "least", "most").agg(F.count("*").alias("times")).where(enough).select("a", "b")
+    more = test(more)
     return labels if more.isEmpty() else connected_components(edges.union(more))

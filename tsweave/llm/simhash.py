@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, release, text_or_empty, written
@@ -25,6 +25,8 @@ from .components import components_by_keys, connected_components, shared_keys
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
 COLD = 512
 RADIUS = 2
+#: Identifiers of candidates whose texts are looked up by a broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -210,44 +212,25 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).view(np.uint64)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every document: texts whose sets of five-word shingles have this Jaccard similarity are linked.
+def hashed_set(text: str, size: int) -> tuple[np.ndarray, int]:
+    """(shingle_set(), one hash of it)"""
+    import xxhash
 
-    Sets of n and m shingles of the similarity t share at least t * max(n, m). So with all shingles in one order, by hash,
-    the first n - ceil(t * n) + 1 of the one and those of the other share a shingle: that finds every pair. Each is then
-    verified by the two whole sets, where the parities of the sets let it reach the similarity: a shingle that only one
-    set has flips one of them. Texts of equal sets are one item.
-    Defined results for odd rows are those of simhash_components().
-    """
+    s = shingle_set(text, size)
+    return s, xxhash.xxh64_intdigest(s.tobytes(), 42)
 
-    def hashed(text: str) -> tuple[np.ndarray, int]:
-        import xxhash
 
-        s = shingle_set(text, shingle)
-        return s, xxhash.xxh64_intdigest(s.tobytes(), 42)
+def by_whole_sets(texts: DataFrame, items: DataFrame, shingle: int, similarity: float):
+    """A test of edges (a, b) between items (node, doc_id, n, odd): the written ones whose sets of shingles are similar enough.
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [hashed(t) for t in pdf["text"]]
-            node = np.array([x for _, x in found], np.uint64).view(np.int64)
-            keys = [s[: len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1].view(np.int64) for s, _ in found]
-            odd = [parities(s).view(np.int64) for s, _ in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": node, "n": [len(s) for s, _ in found], "odd": odd, "keys": keys})
+    The sets are cut again from texts (doc_id string, text), of the items of those edges only that parities let through.
+    """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [hashed(t) for t in pdf["text"]]
+            found = [hashed_set(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame({"node": np.array([x for _, x in found], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s, _ in found]})
 
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = texts.mapInPandas(heads, "doc_id string, node long, n int, odd array<long>, keys array<long>")
-    found = written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-heads")
-    items = written(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("odd").alias("odd")), "shingle-sets")
-    keys = found.join(items, ["node", "doc_id"], "left_semi").select(F.explode("keys").alias("key"), "node", "n")
-    member = written(shared_keys(keys), "shared-shingles")
-    release(docs.sparkSession)
-
     def test(edges: DataFrame) -> DataFrame:
         x, y = (items.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
         half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
@@ -255,15 +238,64 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         edges = edges.join(x, "a").join(y, "b").where(apart <= F.expr(f"{(1 - similarity) / (1 + similarity)}D * (na + nb) + 1e-9D")).select("a", "b")
         edges = written(edges, "document-pairs")
         wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        ids = items.join(wanted, "node", "left_semi").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        ids = written(items.join(wanted, "node", "left_semi").select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "document-ids")
+        if ids.count() <= MOST_BROADCAST:  # beyond, the texts are shuffled
+            ids = F.broadcast(ids)
         whole = texts.join(ids, "doc_id", "left_semi").mapInPandas(sets, "node long, shingles array<long>")
         whole = written(whole.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
         x, y = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         both = edges.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         return written(both.where(f"shared >= {similarity}D * (size(sa) + size(sb) - shared) - 1e-9D").select("a", "b"), "links")
 
+    return test
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every document: texts whose sets of five-word shingles have this Jaccard similarity are linked.
+
+    SimHash comes first: sets whose fingerprints differ in at most RADIUS bits are found by covering locality-sensitive
+    hashing, as in simhash_components(), and those of a component that the whole sets verify are connected from there on.
+    That radius doesn't reach all pairs of the similarity, so an exact way finds the rest. Sets of n and m shingles of the
+    similarity t share at least t * max(n, m). So with all shingles in one order, by hash, the first n - ceil(t * n) + 1
+    of the one and those of the other share a shingle: that finds every pair. Of those shingles a pair shares enough,
+    or else it can't reach the similarity with all that come after. Each is then verified by the two whole sets, where
+    the parities of the sets let it reach the similarity: a shingle that only one set has flips one of them. Texts of
+    equal sets are one item.
+    Defined results for odd rows are those of simhash_components().
+    """
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [hashed_set(t, shingle) for t in pdf["text"]]
+            node = np.array([x for _, x in found], np.uint64).view(np.int64)
+            keys = [s[: len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1].view(np.int64) for s, _ in found]
+            odd = [parities(s).view(np.int64) for s, _ in found]
+            prints = [majority(s[:, None]).view(np.int64) for s, _ in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": node, "n": [len(s) for s, _ in found], "prints": prints, "odd": odd, "keys": keys})
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    found = texts.mapInPandas(heads, "doc_id string, node long, n int, prints array<long>, odd array<long>, keys array<long>")
+    found = written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "shingle-heads")
+    items = written(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints"), F.first("odd").alias("odd")), "shingle-sets")
     near = F.expr(f"least(x.n, y.n) >= {similarity}D * greatest(x.n, y.n) - 1e-9D")
-    label = written(components_by_keys(member, near, test, 1 / similarity), "document-groups")
+    test = by_whole_sets(texts, items, shingle, similarity)
+    alike = components_of(links(items.select("node", "prints"))).withColumnRenamed("component", "key")
+    size = F.count("*").over(Window.partitionBy("key")).cast("int")
+    alike = written(alike.withColumn("size", size).join(items.select("node", "n"), "node"), "print-members")
+    release(docs.sparkSession)
+    known = components_by_keys(alike, near, test, 1 / similarity).where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    known = written(known, "links")
+    release(docs.sparkSession)
+    keys = found.join(items.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select(F.posexplode("keys").alias("rank", "key"), "node", "n")
+    member = written(shared_keys(keys), "shared-shingles")
+    release(docs.sparkSession)
+    # what comes before a shared one in both sets and what comes after it, too, is all that they can share
+    reach = F.expr(f"least(x.rank, y.rank) + least(x.n - x.rank, y.n - y.rank) >= {similarity / (1 + similarity)}D * (x.n + y.n) - 1e-6D")
+    # n - ceil(t * n) + 1 are among the first, so of the larger set so many come after them
+    enough = F.expr(f"times + ceil({similarity}D * most - 1e-9D) - 1 >= {similarity / (1 + similarity)}D * (least + most) - 1e-6D")
+    label = written(components_by_keys(member, near & reach, test, 1 / similarity, known, enough), "document-groups")
+    release(docs.sparkSession)
     item = items.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = item.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.select("doc_id", "node").join(item.join(first, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
