@@ -156,3 +156,51 @@ def test_every_group_by_edit_similarity_alone(spark):
     got = {r.doc_id for r in L.without_repeated_lines(docs).collect() if r.n_removed == 0}
     want = alike(lines)
     assert len(want) < len(lines) and got == {min(lines.index(x) for x in g) for g in want}
+
+
+def shared_rows(coded, similarity, most=10_000):
+    """candidates() of coded lines, which are known by their place, of one range of keys."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    own, key, about = L.pair_keys(coded, none, none, similarity)
+    shared, parts = L.SharedKeys(0, most), []
+    for run in L.runs(own, key, 1, about)[1]:
+        parts += [L.candidates(*shared.rows(False), similarity)] if shared.hold(run) else []
+    return [*parts, L.candidates(*shared.rows(True), similarity)]
+
+
+def test_candidates_lose_no_pair_and_chance_gives_few():
+    """Lines within the edits stay, with pairs of words that a line has again; lines that share one pair by chance don't."""
+    rng = random.Random(9)
+    lines = []
+    for _ in range(60):
+        base = [rng.choice("abc") if rng.random() < 0.3 else chr(rng.randint(0x10000, 0x10FFF)) for _ in range(rng.randint(5, 300))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, len(base) // 5)):
+                at, what = rng.randrange(len(w)), rng.random()
+                w[at : at + 1] = [] if what < 0.3 else [w[at], rng.choice(w)] if what < 0.6 else [rng.choice("abc")]
+            lines.append("".join(w))
+    lines = sorted(set(lines))
+    for most in (10_000_000, 10):
+        found = shared_rows(lines, L.SIMILARITY, most)
+        pairs = {(a, b) for f in found for a, b in zip(f["a"], f["b"], strict=True) if a != b}
+        buckets = {}
+        for f in found:
+            for k, a, b in zip(f["key"], f["a"], f["b"], strict=True):
+                if a == b:
+                    buckets.setdefault(k, set()).add(a)
+        together = pairs | {(a, b) for s in buckets.values() for a in s for b in s if a < b}
+        for i, x in enumerate(lines):
+            for j in range(i + 1, len(lines)):
+                y = lines[j]
+                k = L.allowed(max(len(x), len(y)), L.SIMILARITY)
+                if (i, j) not in together and abs(len(x) - len(y)) <= k:
+                    assert edit(x, y) > k
+    # 200 lines that share a pair of words at places of their own, and 200 of one text but for a word
+    chance = ["".join(chr(0x20000 + 100 * i + j) for j in range(i % 50)) + "ab" + "".join(chr(0x20000 + 100 * i + j) for j in range(i % 50, 60)) for i in range(200)]
+    found = shared_rows(chance, L.SIMILARITY)[0]
+    assert 0 < len(found) < 200 * 199 // 6
+    base = [chr(0x30000 + j) for j in range(30)]
+    found = shared_rows(["".join([*base[: i % 30], chr(0x40000 + i), *base[i % 30 + 1 :]]) for i in range(200)], L.SIMILARITY)[0]
+    one = found["a"] == found["b"]
+    assert 200 <= one.sum() <= 200 * 13 and (~one).sum() <= 200 * L.SPARSE

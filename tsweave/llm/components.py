@@ -68,12 +68,13 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     member: written (key, node, n, size, ...), size the same for a key and at least its count of nodes, or not there; near: a condition
     on x and y, two rows of member, that a ratio of their n over `ratio`, if given, doesn't meet; test(edges) gives, written, those that
     hold. All pairs of a bucket of up to FEW are tested. In a larger one a row meets only those of its own band of n and
-    of the next, as others can't be near. Its nodes are first tested against up to four of each band, of which one has
-    the most in common with others, and then all its pairs that aren't connected yet, so a large group of near items
-    doesn't give the square of its size, though some of the bucket be like none, and no pair is left untested that could
-    connect two components.
+    of the next, as others can't be near. Its nodes are tested against up to four of each band, of which one has the most in
+    common with others: first each node in two of its buckets only, so that a large group that shares many keys gives a
+    few pairs a node and not a few a node and key, then in all where the components still differ. Last come all pairs
+    that aren't connected yet, so a large group of near items doesn't give the square of its size, though some of the
+    bucket be like none, and no pair is left untested that could connect two components.
     known: written edges (a, b) that hold. enough: a condition, without which a pair can't hold, on times, the keys that it
-    shares, and least and most, the n of its two nodes; pairs but those of the first test are held against it.
+    shares, and least and most, the n of its two nodes; pairs but those of the tests against four are held against it.
     """
     spark = member.sparkSession
     if "size" not in member.columns:
@@ -85,31 +86,30 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
 
     few, many = member.where(f"size <= {FEW}"), member.where(f"size > {FEW}")
     columns = [c for c in member.columns if c not in ("key", "node")]
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio) + 1e-9).cast("int") if ratio else F.lit(0)
-    many = many.withColumn("band", band)
-    if known is not None:
-        many = many.join(connected_components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        columns.append("component")
+    many = many.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio) + 1e-9).cast("int") if ratio else F.lit(0))
     # a copy with edits has lost some of the keys that the others share
-    shared = F.sum(F.least("size", F.lit(1 << 20)).cast("long")).over(Window.partitionBy("node"))
-    many = written(many.withColumn("shared", shared), "large-buckets")
-    row = F.struct("node", *columns)
-    first = many.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"), F.max_by(row, F.struct("shared", "node")).alias("d"))
-    first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("s"))
-    first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
+    of_node, hashed = Window.partitionBy("node"), F.xxhash64("key")
+    many = many.withColumn("shared", F.sum(F.least("size", F.lit(1 << 20)).cast("long")).over(of_node))
+    many = many.withColumn("chosen", (hashed == F.min(hashed).over(of_node)) | (hashed == F.max(hashed).over(of_node)))
+    many = written(many, "large-buckets")
+    row = F.struct("node", *columns, "component")
     in_band = "x.key = y.key and x.at = y.band"
-    apart = "x.node <> y.node" if known is None else "x.component <> y.component"
     several = pairs(few, few, "x.node < y.node")
-    tried = pairs(first, many, apart, in_band)
-    if enough is None:
-        tried, several = several.union(tried), None
-    edges = test(tried.select("a", "b").distinct())
-    if known is not None:
-        edges = edges.union(known)
-    release(spark)
-    labels = written(connected_components(edges), "labels")
-    release(spark)
-    own = many.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = None if known is None else written(connected_components(known), "labels")
+    for some in ("chosen", "true"):
+        own = _labelled(many, labels)
+        first = own.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"), F.max_by(row, F.struct("shared", "node")).alias("d"))
+        first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("s"))
+        first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
+        tried = pairs(first, own.where(some), "x.component <> y.component", in_band)
+        if enough is None and some == "chosen":
+            tried, several = several.union(tried), None
+        held = test(tried.select("a", "b").distinct())
+        release(spark)
+        if labels is None or not held.isEmpty():
+            labels = written(connected_components(_with_labels(held, labels)), "labels")
+            release(spark)
+    own = _labelled(many, labels)
     wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", in_band)
     if enough is None:
@@ -117,4 +117,16 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     else:
         more = more.union(several).groupBy("a", "b", "least", "most").agg(F.count("*").alias("times")).where(enough).select("a", "b")
     more = test(more)
-    return labels if more.isEmpty() else connected_components(edges.union(more))
+    return labels if more.isEmpty() else connected_components(_with_labels(more, labels))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the component of their node, which is the node where it has none."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _with_labels(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """edges, and one from each labelled node to its component."""
+    return edges if labels is None else edges.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

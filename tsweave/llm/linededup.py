@@ -7,16 +7,17 @@
    similarity 0.8 lie up to 17 of its 64 bits apart, and pigeonhole blocks for that radius have under four bits.)
 3. Pigeonhole blocks. An edit breaks at most two pairs of neighbouring words. So of two lines within k edits each has,
    among its 2k + 1 rarest pairs in one order for all lines, one that the other has among its own (prefix_length() says
-   how many exactly). So no pair is missed, whatever the data. Lines that share a block are candidates where lengths
-   and fingerprints let them be within k edits.
+   how many exactly). So no pair is missed, whatever the data. Lines that share a block are candidates where lengths,
+   the places of the block and fingerprints let them be within k edits.
 4. Candidates whose edit similarity over words, 1 - distance / longer length, reaches SIMILARITY are linked. Words are
    compared by 20 bits of hash, one character each, so a line is a short string for the built-in edit distance.
-   To spare groups the square of their size, a large bucket's lines are first tested against its first line; then all
-   its pairs are that aren't connected yet.
+   To spare groups the square of their size, the lines of a large bucket of which many may be alike are first tested
+   against a few of them; then all its pairs are that aren't connected yet.
 5. Of each connected group the first occurrence stays, by doc_id and place; the others go.
 
 Blocks are numerous, two for each five words, and most are of one line only. They are shuffled as runs, each a batch's
-keys and lines of one range of keys as bytes, and a range is sorted in numpy, of which only shared keys go on.
+keys and lines of one range of keys as bytes. A range is sorted in numpy and the pairs of a bucket are looked at there,
+so that only those go on whose lengths and places let them be alike.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, delete_table, fresh, join_with_hot, partitions, release, text_or_empty, written
-from .components import components_by_keys
+from .components import FEW, components_by_keys, connected_components
 from .simhash import mixed
 
 SIMILARITY = 0.8
@@ -40,6 +41,14 @@ SAMPLE, COMMON = 40_000, 65_536
 MOST_BROADCAST = 1_000_000
 #: A range of keys has about so many; characters whose words are hashed at a time.
 RANGE, CHUNK = 1_000_000, 4_000_000
+#: Words of a line, and places among them, are told apart up to so many.
+MANY = 255
+#: All pairs of buckets of up to so many lines are looked at; so many a line may be similar for the pairs to be given.
+WHOLE, SPARSE = 1_024, 8
+#: Pairs that are looked at in one step.
+PAIRS = 1_000_000
+#: The size of a bucket that isn't known.
+OPEN = np.iinfo(np.int32).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,8 +139,11 @@ def _counted(found: np.ndarray, counted: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.where(known[at] == found, log[at], 0).astype(np.int64)
 
 
-def pair_keys(coded: list[str], words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line's place, key): the rarest pairs of neighbouring words of each line. The second of an equal pair is another one.
+def pair_keys(coded: list[str], words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line's place, key, about): the rarest pairs of neighbouring words of each line. The second of an equal pair is another one.
+
+    about: the line's words times 256 and the pair's place among them, of which each is MANY at most. The place of a pair
+    that the line has again is MANY, as either may be the one that another line has kept.
 
     words, pairs: those that a sample has more than once, in order, and logarithms of their counts. A pair is as common
     as the sample or else its words say: a passage that many lines share is of rare words, but its pairs are common.
@@ -148,32 +160,52 @@ def pair_keys(coded: list[str], words: tuple[np.ndarray, np.ndarray], pairs: tup
     rare = np.minimum(np.maximum(log[first] + log[first + 1], np.where(told > 0, told + _EXPECTED, 0)), 255).astype(np.uint64)
     o = np.argsort(own << np.uint64(44) | rare << np.uint64(36) | key >> np.uint64(28))
     own, key = own[o].astype(np.int64), key[o]
+    at = np.minimum(first[o] - (np.cumsum(n) - n)[own], MANY)
     # an equal pair is beside it, being as rare: the second is another one
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))[: len(own)]
     if not new.all():
         place = np.arange(len(own))
         again = place - np.maximum.accumulate(np.where(new, place, 0))
         key = np.where(again > 0, mixed(key + again.astype(np.uint64)), key)
+        at[~new | ~np.append(new[1:], True)] = MANY
     lead = np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0)
     length, of = np.unique(n, return_inverse=True)
     most = np.array([prefix_length(x, similarity) for x in length.tolist()], np.int64)[of] if len(n) else n
     kept = np.arange(len(own)) - lead[own] < most[own]
-    return own[kept], key[kept]
+    own = own[kept]
+    return own, key[kept], (np.minimum(n, MANY)[own] << 8 | at[kept]).astype(np.uint16)
+
 
+def runs(own: np.ndarray, key: np.ndarray, ranges: int, about: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """(range, run): the keys and lines of each range of keys, 32 bits of a key, 64 of a line and 16 about both, one after another.
 
-def runs(own: np.ndarray, key: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
-    """(range, run): the keys and lines of each range of keys, 48 bits of a key and 64 of a line, one after another."""
+    Two keys of a range that are alike in their low 32 bits count as one, which makes a candidate and no link.
+    """
+    about = np.zeros(len(key), np.uint16) if about is None else about
     at = (key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     o = np.argsort(at, kind="stable")
-    at, key, own = at[o], key[o], own[o]
+    at, key, own, about = at[o], key[o], own[o], about[o]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))[: len(at)]
     ends = np.append(first, len(at))[1:] if len(at) else first
-    low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6]
-    return at[first].astype(np.int64), [low[a:b].tobytes() + own[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+    low = key.astype(np.uint32)
+    return at[first].astype(np.int64), [low[a:b].tobytes() + own[a:b].tobytes() + about[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+
+
+def near_places(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines that share a pair of words may be of this similarity, by what pair_keys() says about each.
+
+    Edits before the pair make up for the difference of its places, and edits after it for that of what follows.
+    """
+    most = np.array([allowed(n, similarity) for n in range(MANY + 1)], np.int16)
+    n, m = (x >> 8).astype(np.int16), (y >> 8).astype(np.int16)
+    p, q = (x & MANY).astype(np.int16), (y & MANY).astype(np.int16)
+    shift, longer = p - q, n - m
+    open_place = (p == MANY) | (q == MANY) | (n == MANY) | (m == MANY)
+    return np.where(open_place, np.abs(longer), np.abs(shift) + np.abs(longer - shift)) <= most[np.maximum(n, m)]
 
 
 class SharedKeys:
-    """The (key, node, size) of one range whose key more than one node has, from its runs in turn.
+    """The rows (key, node, size, about) of one range whose key more than one node has, from its runs in turn.
 
     size: how many nodes a key has; of a range that is larger than `most`, for which not all runs are held at a time but
     one node of each key, it is a number above any. A key that very many lines share passes through in parts.
@@ -181,25 +213,31 @@ class SharedKeys:
 
     def __init__(self, at: int, most: int):
         self.at, self.most, self.held, self.size, self.parts = at, most, [], 0, 0
-        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+        self.known = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool))
 
-    def add(self, run: bytes) -> pd.DataFrame | None:
+    def hold(self, run: bytes) -> bool:
+        """Whether with this run so many are held that rows() is due."""
         n = len(run) // 14
-        low = np.zeros((n, 8), np.uint8)
-        low[:, :6] = np.frombuffer(run, np.uint8, 6 * n).reshape(n, 6)
-        self.held.append((low.view(np.uint64)[:, 0], np.frombuffer(run, np.int64, n, 6 * n)))
+        self.held.append((np.frombuffer(run, np.uint32, n), np.frombuffer(run, np.int64, n, 4 * n), np.frombuffer(run, np.uint16, n, 12 * n)))
         self.size += n
-        return self.flush(False) if self.size >= self.most else None
+        return self.size >= self.most
+
+    def add(self, run: bytes) -> pd.DataFrame | None:
+        return self.flush(False) if self.hold(run) else None
 
     def flush(self, last: bool) -> pd.DataFrame:
-        old, old_node, told = self.known
-        key = np.concatenate([old, *[k for k, _ in self.held]])
-        node = np.concatenate([old_node, *[x for _, x in self.held]])
-        new = np.arange(len(key)) >= len(old)
-        new[: len(old)] = ~told
+        """The rows since the last call, in the order of keys and nodes."""
+        key, node, size, _ = self.rows(last)
+        return pd.DataFrame({"key": key, "node": node, "size": size})
+
+    def rows(self, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        *old, told = self.known
+        key, node, about = (np.concatenate([x, *[h[i] for h in self.held]]) for i, x in enumerate(old))
+        new = np.arange(len(key)) >= len(told)
+        new[: len(told)] = ~told
         self.held, self.size = [], 0
         o = np.argsort(key, kind="stable")
-        key, node, new = key[o], node[o], new[o]
+        key, node, about, new = key[o], node[o], about[o], new[o]
         start = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
         first = np.flatnonzero(start)
         count = np.diff(np.append(first, len(key)))
@@ -209,19 +247,54 @@ class SharedKeys:
             mixed_group = np.logical_or.reduceat(several, first)
         whole = last and not self.parts
         if not last:
-            self.known = key[first], node[first], mixed_group
+            self.known = key[first], node[first], about[first], mixed_group
         self.parts += 1
         take = np.repeat(mixed_group, count)
-        key, node, new = key[take], node[take], new[take]
+        key, node, about, new = key[take], node[take], about[take], new[take]
         o = np.lexsort((node, key))
-        key, node, new = key[o], node[o], new[o]
+        key, node, about, new = key[o], node[o], about[o], new[o]
         once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]
         shown = np.logical_or.reduceat(new, np.flatnonzero(once)) if len(key) else new
-        key, node = key[once], node[once]
+        key, node, about = key[once], node[once], about[once]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
-        size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key)))) if whole else np.full(len(key), np.iinfo(np.int32).max)
-        key = mixed(key + (np.uint64(self.at) << np.uint64(48))).view(np.int64)
-        return pd.DataFrame({"key": key[shown], "node": node[shown], "size": size[shown].astype(np.int32)})
+        size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key)))) if whole else np.full(len(key), OPEN)
+        key = mixed(key.astype(np.uint64) + (np.uint64(self.at) << np.uint64(48))).view(np.int64)
+        return key[shown], node[shown], size[shown].astype(np.int32), about[shown]
+
+
+def candidates(key: np.ndarray, node: np.ndarray, size: np.ndarray, about: np.ndarray, similarity: float) -> pd.DataFrame:
+    """(key, a, b, size): pairs a < b of lines that may be similar, and the rows of large buckets, whose a is b.
+
+    The rows are SharedKeys.rows(). All pairs of a bucket of up to WHOLE are looked at. Where more than SPARSE a line
+    may be similar, or the bucket is larger, its rows are given instead of pairs, so that a group doesn't give its square.
+    """
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    count = np.diff(np.append(first, len(key)))
+    bucket = np.repeat(np.arange(len(first)), count)
+    looked = (count == size[first]) & (count <= WHOLE)
+    after = np.where(looked[bucket], np.repeat(first + count, count) - np.arange(len(key)) - 1, 0)
+    near = np.zeros(len(first), np.int64)
+    found, done, ends = [], 0, np.cumsum(after)
+    while done < len(key):
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+        n = after[done:to]
+        x = np.repeat(np.arange(done, to), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        may = near_places(about[x], about[y], similarity)
+        found.append((x[may], y[may]))
+        near += np.bincount(bucket[x[may]], minlength=len(first))
+        done = to
+    large = ~looked | (count > FEW) & (near > SPARSE * count)
+    x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    pair = ~large[bucket[x]]
+    a, b = node[x[pair]], node[y[pair]]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    a, b, rows = a[once], b[once], large[bucket]
+    none = np.zeros(len(a), np.int64)
+    return pd.DataFrame({"key": np.append(none, key[rows]), "a": np.append(a, node[rows]), "b": np.append(b, node[rows]), "size": np.append(none, size[rows]).astype(np.int32)})
 
 
 def verified(edges: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -241,8 +314,8 @@ def _common(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value[o], log[o]
 
 
-def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
-    """Written (key, node, size): lines that share a key with another, by each such key. lines: (h, n, coded), where a line may recur."""
+def sharing_lines(lines: DataFrame, similarity: float) -> DataFrame:
+    """Written (key, a, b, size): candidates() of lines that share a key. lines: (h, n, coded), where a line may recur."""
     total = lines.agg(F.count("*").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     few = max(1, total.lines // SAMPLE)
     sample = written(lines.where(f"pmod(xxhash64(h), {few}) = 0").select("coded"), "line-sample")
@@ -254,8 +327,8 @@ def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own, key = pair_keys(pdf["coded"].tolist(), words, pairs, similarity)
-            at, found = runs(pdf["h"].to_numpy()[own], key, ranges)
+            own, key, about = pair_keys(pdf["coded"].tolist(), words, pairs, similarity)
+            at, found = runs(pdf["h"].to_numpy()[own], key, ranges, about)
             yield pd.DataFrame({"at": at, "run": found})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,16 +337,16 @@ def bucket_members(lines: DataFrame, similarity: float) -> DataFrame:
             for at, run in zip(pdf["at"].tolist(), pdf["run"], strict=True):
                 if here is None or here.at != at:
                     if here is not None:
-                        yield here.flush(True)
+                        yield candidates(*here.rows(True), similarity)
                     here = SharedKeys(at, most)
-                if (part := here.add(run)) is not None:
-                    yield part
+                if here.hold(run):
+                    yield candidates(*here.rows(False), similarity)
         if here is not None:
-            yield here.flush(True)
+            yield candidates(*here.rows(True), similarity)
 
     run = lines.select("h", "coded").mapInPandas(cut, "at long, run binary")
     run = run.repartition(partitions(lines.sparkSession), "at").sortWithinPartitions("at")
-    return written(run.mapInPandas(join, "key long, node long, size int"), "shared-keys")
+    return written(run.mapInPandas(join, "key long, a long, b long, size int"), "candidates")
 
 
 def within_edits(similarity: float):
@@ -311,11 +384,12 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
     distinct = written(seen.groupBy("h").agg(F.min("odd").alias("odd"), F.min("odd2").alias("odd2"), F.min("n").alias("n"), F.count("*").alias("times")), "distinct-lines")
     lines = seen.where("coded is not null").select("h", "n", "coded")
     about = distinct.select(F.col("h").alias("node"), "n", "odd", "odd2")
-    keys = bucket_members(lines, similarity)
-    release(docs.sparkSession)
-    member = written(keys.join(about.hint("shuffle_merge"), "node"), "bucket-members")
-    delete_table(keys)
+    found = sharing_lines(lines, similarity)
     release(docs.sparkSession)
+    near = within_edits(similarity)
+    pairs = found.where("a <> b").select("a", "b").distinct()
+    for c, v in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(about.select(F.col("node").alias(c), F.struct("n", "odd", "odd2").alias(v)).hint("shuffle_merge"), c)
 
     def test(edges: DataFrame) -> DataFrame:
         edges = written(edges, "line-pairs")
@@ -330,8 +404,15 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
         delete_table(edges)
         return held
 
-    label = written(components_by_keys(member, within_edits(similarity), test, 1 / similarity), "line-groups")
-    delete_table(member)
+    known = test(pairs.where(near).select("a", "b"))
+    member = found.where("a = b").select("key", F.col("a").alias("node"), "size")
+    if member.isEmpty():
+        label = written(connected_components(known), "line-groups")
+    else:
+        member = written(member.join(about.hint("shuffle_merge"), "node"), "bucket-members")
+        delete_table(found)
+        label = written(components_by_keys(member, near, test, 1 / similarity, known), "line-groups")
+        delete_table(member)
     release(docs.sparkSession)
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences
     known = distinct.join(label.select(F.col("node").alias("h"), "component"), "h", "left").where("times > 1 or component is not null")
