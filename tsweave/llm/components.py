@@ -69,7 +69,7 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     on x and y, two rows of member, that a ratio of their n over `ratio`, if given, doesn't meet; test(edges) gives, written, those that
     hold. All pairs of a bucket of up to FEW are tested. In a larger one a row meets only those of its own band of n and
     of the next, as others can't be near. Its nodes are tested against up to four of each band, of which one has the most in
-    common with others: first each node in two of its buckets only, so that a large group that shares many keys gives a
+    common with others: with known but not enough, first each node in two of its buckets only, so that a large group that shares many keys gives a
     few pairs a node and not a few a node and key, then in all where the components still differ. Last come all pairs
     that aren't connected yet, so a large group of near items doesn't give the square of its size, though some of the
     bucket be like none, and no pair is left untested that could connect two components.
@@ -96,13 +96,14 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     in_band = "x.key = y.key and x.at = y.band"
     several = pairs(few, few, "x.node < y.node")
     labels = None if known is None else written(connected_components(known), "labels")
-    for some in ("chosen", "true"):
+    rounds = ("chosen", "true") if known is not None and enough is None else ("true",)
+    for some in rounds:
         own = _labelled(many, labels)
         first = own.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"), F.max_by(row, F.struct("shared", "node")).alias("d"))
         first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("s"))
         first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
         tried = pairs(first, own.where(some), "x.component <> y.component", in_band)
-        if enough is None and some == "chosen":
+        if enough is None and some == rounds[0]:
             tried, several = several.union(tried), None
         held = test(tried.select("a", "b").distinct())
         release(spark)
