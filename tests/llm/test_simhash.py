@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tsweave.llm import components
 from tsweave.llm import simhash as S
 from tsweave.llm.components import components_by_keys, connected_components, shared_keys
 
@@ -203,3 +204,50 @@ def test_pairs_that_share_too_few_keys_are_not_tested(spark):
     got = components_by_keys(member, F.expr("x.n = y.n"), test, 1.25, known, F.expr("times >= 5"))
     assert {r.node: r.component for r in got.collect()} == {0: 0, 19: 0} | {i: 1 for i in range(1, 19)}
     assert all(not 1 <= a <= b <= 18 for some in tested for a, b in some) and tested[1] == set()
+
+
+def test_pairs_of_a_group_that_shares_many_keys_are_given_at_few(spark):
+    """Each pair that shares a key is there, and hardly any at each of the thirty keys that it shares."""
+    rng = random.Random(12)
+    keys = {i: set(rng.sample(range(40), rng.choice([1, 3, 38]))) for i in range(60)}
+    size = {k: sum(k in s for s in keys.values()) for k in range(40)}
+    rows = [(k, i, 10, size[k]) for i, s in keys.items() for k in s]
+    member = spark.createDataFrame(rows, "key long, node long, n int, size int")
+    given, tested = [], []
+    whole = components.unconnected
+
+    def counted(*a, **b):
+        given.append(whole(*a, **b))
+        return given[-1]
+
+    def test(edges):
+        tested.append({(r.a, r.b) for r in edges.collect()})
+        return edges.where("false")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(components, "unconnected", counted)
+        assert components_by_keys(member, F.expr("x.n = y.n"), test, 1.25).isEmpty()
+    want = {(i, j) for i in keys for j in keys if i < j and keys[i] & keys[j]}
+    assert set().union(*tested) == want and given[0].count() < 2 * len(want)
+
+
+def test_documents_with_a_passage_in_common_give_no_pair(spark, monkeypatch):
+    """They share shingles among their first, at places that would let them be alike, but the sets' parities tell them apart."""
+    rng = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(44))
+    texts = [" ".join([passage, *(f"w{rng.randrange(10**9)}" for _ in range(76))]) for _ in range(40)]
+    texts += [texts[0] + " end", " ".join(f"s{i}" for i in range(3))]
+    seen = []
+    whole = S.components_by_keys
+
+    def kept(member, near, *a):
+        seen.append((member, near))
+        return whole(member, near, *a)
+
+    monkeypatch.setattr(S, "components_by_keys", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i == 40 else i for i in range(42)}
+    member, near = seen[-1]
+    pairs = member.alias("x").join(member.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.size > {components.FEW}"))
+    assert pairs.count() > 1000 and pairs.where(near).select("x.node", "y.node").distinct().count() <= 1

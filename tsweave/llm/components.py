@@ -80,10 +80,6 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     if "size" not in member.columns:
         member = member.withColumn("size", F.lit(FEW + 1))
 
-    def pairs(x: DataFrame, y: DataFrame, where: str, on: str = "x.key = y.key") -> DataFrame:
-        both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr(on)).where(near & F.expr(where))
-        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.n", "y.n").alias("least"), F.greatest("x.n", "y.n").alias("most"))
-
     few, many = member.where(f"size <= {FEW}"), member.where(f"size > {FEW}")
     columns = [c for c in member.columns if c not in ("key", "node")]
     many = many.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio) + 1e-9).cast("int") if ratio else F.lit(0))
@@ -91,10 +87,10 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     of_node, hashed = Window.partitionBy("node"), F.xxhash64("key")
     many = many.withColumn("shared", F.sum(F.least("size", F.lit(1 << 20)).cast("long")).over(of_node))
     many = many.withColumn("chosen", (hashed == F.min(hashed).over(of_node)) | (hashed == F.max(hashed).over(of_node)))
+    many = many.withColumn("before", F.lag("key").over(of_node.orderBy(F.desc("size"), "key")))
     many = written(many, "large-buckets")
     row = F.struct("node", *columns, "component")
-    in_band = "x.key = y.key and x.at = y.band"
-    several = pairs(few, few, "x.node < y.node")
+    several = _near_pairs(few, few, near, "x.key = y.key", "x.node < y.node")
     labels = None if known is None else written(connected_components(known), "labels")
     rounds = ("chosen", "true") if known is not None and enough is None else ("true",)
     for some in rounds:
@@ -102,7 +98,7 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
         first = own.groupBy("key", "band").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min_by(row, F.xxhash64("node")).alias("c"), F.max_by(row, F.struct("shared", "node")).alias("d"))
         first = first.select("key", "band", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("s"))
         first = first.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("at"), "s.*")
-        tried = pairs(first, own.where(some), "x.component <> y.component", in_band)
+        tried = _near_pairs(first, own.where(some), near, IN_BAND, "x.component <> y.component")
         if enough is None and some == rounds[0]:
             tried, several = several.union(tried), None
         held = test(tried.select("a", "b").distinct())
@@ -111,8 +107,7 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
             labels = written(connected_components(_with_labels(held, labels)), "labels")
             release(spark)
     own = _labelled(many, labels)
-    wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    more = pairs(wide, own, "x.component <> y.component and (x.band < y.band or x.node < y.node)", in_band)
+    more = unconnected(own, near, once=enough is None)
     if enough is None:
         more = more.select("a", "b").distinct()
     else:
@@ -121,6 +116,26 @@ def components_by_keys(member: DataFrame, near: Column, test, ratio: float | Non
     return labels if more.isEmpty() else connected_components(_with_labels(more, labels))
 
 
+#: Rows x (with the band `at` in place of its own) and y of a large bucket that may be near.
+IN_BAND = "x.key = y.key and x.at = y.band"
+
+
+def _near_pairs(x: DataFrame, y: DataFrame, near: Column, on: str, where: str) -> DataFrame:
+    """(a, b, least, most): the nodes a < b and the least and most of their n, of rows x and y that meet and are near."""
+    both = x.alias("x").join(y.alias("y").hint("shuffle_merge"), F.expr(on)).where(F.expr(where) & near)
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.n", "y.n").alias("least"), F.greatest("x.n", "y.n").alias("most"))
+
+
+def unconnected(own: DataFrame, near: Column, once: bool) -> DataFrame:
+    """(a, b, least, most): the near pairs of nodes of unlike components that share a key, for each such key.
+
+    own: (key, node, n, band, before, component, ...). once: not where both have the same key before, as they meet there, too.
+    """
+    wide = own.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    where = "x.component <> y.component and (x.band < y.band or x.node < y.node)"
+    return _near_pairs(wide, own, near, IN_BAND, where + " and not coalesce(x.before = y.before, false)" * once)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """rows with the component of their node, which is the node where it has none."""
     if labels is None:

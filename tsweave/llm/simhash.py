@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, release, text_or_empty, written
-from .components import components_by_keys, connected_components, shared_keys
+from .components import FEW, components_by_keys, connected_components, shared_keys
 
 #: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by way of shared neighbours.
 COLD = 512
@@ -206,12 +206,31 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIU
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Places of parities(), at least.
+PLACES = 512
+
+
 def parities(s: np.ndarray) -> np.ndarray:
-    """Bit i: whether s has an odd number of hashes i, for 256 places or the power of two from twice the number on."""
-    places = max(256, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 256
+    """Bit i: whether s has an odd number of hashes i, for PLACES places or the power of two from twice the number on."""
+    places = max(PLACES, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else PLACES
     return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).view(np.uint64)
 
 
+#: The parities by which pairs are told apart where they meet: PLACES, in eight numbers.
+FOLDS = [f"odd{i}" for i in range(PLACES // 64)]
+
+
+def folded_parities(odd: str) -> list:
+    """The FOLDS of a column of parities(): its numbers by their place mod their count, as PLACES divides the places."""
+    return [F.expr(f"aggregate(sequence({i}, size({odd}) - 1, {len(FOLDS)}), 0L, (t, j) -> t ^ {odd}[j])").alias(c) for i, c in enumerate(FOLDS)]
+
+
+def within_parities(similarity: float):
+    """Whether the rows x and y (n, FOLDS or nulls) may be sets of this similarity: a hash that only one set has flips one parity at most."""
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in FOLDS)
+    return F.expr(f"coalesce({apart} <= {(1 - similarity) / (1 + similarity)}D * (x.n + y.n) + 1e-9D, true)")
+
+
 def hashed_set(text: str, size: int) -> tuple[np.ndarray, int]:
     """(shingle_set(), one hash of it)"""
     import xxhash
@@ -259,7 +278,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     similarity t share at least t * max(n, m). So with all shingles in one order, by hash, the first n - ceil(t * n) + 1
     of the one and those of the other share a shingle: that finds every pair. Of those shingles a pair shares enough,
     or else it can't reach the similarity with all that come after. Each is then verified by the two whole sets, where
-    the parities of the sets let it reach the similarity: a shingle that only one set has flips one of them. Texts of
+    the parities of the sets let it reach the similarity: a shingle that only one set has flips one of them. Some of them
+    are looked at where two sets meet in a large bucket, so that sets with a passage in common and little else give no pair. Texts of
     equal sets are one item.
     Defined results for odd rows are those of simhash_components().
     """
@@ -290,11 +310,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     keys = found.join(items.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select(F.posexplode("keys").alias("rank", "key"), "node", "n")
     member = written(shared_keys(keys), "shared-shingles")
     release(docs.sparkSession)
+    folded = items.select("node", *folded_parities("odd")).hint("shuffle_merge")
+    member = member.join(folded, "node").withColumns({c: F.when(F.col("size") > FEW, F.col(c)) for c in FOLDS})  # small buckets give few pairs
+    member = written(member, "shared-shingles")
+    release(docs.sparkSession)
     # what comes before a shared one in both sets and what comes after it, too, is all that they can share
     reach = F.expr(f"least(x.rank, y.rank) + least(x.n - x.rank, y.n - y.rank) >= {similarity / (1 + similarity)}D * (x.n + y.n) - 1e-6D")
     # n - ceil(t * n) + 1 are among the first, so of the larger set so many come after them
     enough = F.expr(f"times + ceil({similarity}D * most - 1e-9D) - 1 >= {similarity / (1 + similarity)}D * (least + most) - 1e-6D")
-    label = written(components_by_keys(member, near & reach, test, 1 / similarity, known, enough), "document-groups")
+    label = written(components_by_keys(member, near & reach & within_parities(similarity), test, 1 / similarity, known, enough), "document-groups")
     release(docs.sparkSession)
     item = items.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = item.groupBy("component").agg(F.min("doc_id").alias("component_id"))
