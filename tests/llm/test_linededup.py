@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tsweave.llm import linededup as L
 
@@ -204,3 +205,29 @@ def test_candidates_lose_no_pair_and_chance_gives_few():
     found = shared_rows(["".join([*base[: i % 30], chr(0x40000 + i), *base[i % 30 + 1 :]]) for i in range(200)], L.SIMILARITY)[0]
     one = found["a"] == found["b"]
     assert 200 <= one.sum() <= 200 * 13 and (~one).sum() <= 200 * L.SPARSE
+
+
+def test_parities_and_lengths_lose_no_pair_and_let_few_others_through(spark):
+    """Lines within the edits pass, whatever the edits are; a line that has lost 6 words and has 16 others does not."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, apart = [], []
+    for i in range(300):
+        x = rng.sample(words, rng.randint(5, 60))
+        y, k = list(x), int(len(x) * (1 - L.SIMILARITY) + 1e-9)
+        kind = rng.choice([[0.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.3, 0.6]])
+        for _ in range(k):
+            at, what = rng.randrange(len(y)), rng.random()
+            y[at : at + 1] = [] if what < kind[0] and len(y) > 1 else [y[at], rng.choice(words)] if what < kind[1] else [rng.choice(words)]
+        if edit(x, y) <= L.allowed(max(len(x), len(y)), L.SIMILARITY):
+            rows.append((i, " ".join(x), " ".join(y)))
+    for i in range(300, 340):
+        x = rng.sample(words, 50)
+        apart.append((i, " ".join(x), " ".join(x[6:] + [f"v{i}x{j}" for j in range(16)])))
+    sides = []
+    for s in (1, 2):
+        _, n, odd = L.coded_lines([r[s] for r in rows + apart])
+        sides.append(spark.createDataFrame([(r[0], int(k), *map(int, o.view(np.int64))) for r, k, o in zip(rows + apart, n, odd, strict=True)], "i long, n int, odd long, odd2 long"))
+    both = sides[0].alias("x").join(sides[1].alias("y"), F.expr("x.i = y.i"))
+    got = {r.i for r in both.where(L.within_edits(L.SIMILARITY)).select("x.i").collect()}
+    assert len(rows) > 200 and {r[0] for r in rows} <= got and len(got) <= len(rows) + 10

@@ -350,9 +350,12 @@ def sharing_lines(lines: DataFrame, similarity: float) -> DataFrame:
 
 
 def within_edits(similarity: float):
-    """Whether the rows x and y (n, odd, odd2) may be lines of this similarity, by their lengths and parities of words."""
+    """Whether the rows x and y (n, odd, odd2) may be lines of this similarity, by their lengths and parities of words.
+
+    Of k edits, as many as the lengths differ by add or remove a word and flip one parity; the others flip two.
+    """
     most = f"cast(greatest(x.n, y.n) * {1 - similarity}D + 1e-9D as int)"  # D: a double, as decimals are slow
-    return F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most}")
+    return F.expr(f"abs(x.n - y.n) <= {most} and bit_count(x.odd ^ y.odd) + bit_count(x.odd2 ^ y.odd2) <= 2 * {most} - abs(x.n - y.n)")
 
 
 def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,27 +394,35 @@ def repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: s
     for c, v in (("a", "x"), ("b", "y")):
         pairs = pairs.join(about.select(F.col("node").alias(c), F.struct("n", "odd", "odd2").alias(v)).hint("shuffle_merge"), c)
 
-    def test(edges: DataFrame) -> DataFrame:
-        edges = written(edges, "line-pairs")
-        release(docs.sparkSession)
-        wanted = edges.select(F.col("a").alias("h")).union(edges.select("b")).distinct()
+    def coded(wanted: DataFrame) -> DataFrame:
         if wanted.count() <= MOST_BROADCAST:  # beyond, the lines are shuffled
             wanted = F.broadcast(wanted)
         code = written(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-codes")
         release(docs.sparkSession)
+        return code
+
+    def test(edges: DataFrame) -> DataFrame:
+        edges = written(edges, "line-pairs")
+        release(docs.sparkSession)
         held = written(verified(edges, code, similarity), "links")
-        delete_table(code)
         delete_table(edges)
         return held
 
-    known = test(pairs.where(near).select("a", "b"))
+    pairs = written(pairs.where(near).select("a", "b"), "line-pairs")
+    release(docs.sparkSession)
+    code = coded(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    known = written(verified(pairs, code, similarity), "links")
+    delete_table(code)
+    delete_table(pairs)
     member = found.where("a = b").select("key", F.col("a").alias("node"), "size")
     if member.isEmpty():
         label = written(connected_components(known), "line-groups")
     else:
         member = written(member.join(about.hint("shuffle_merge"), "node"), "bucket-members")
         delete_table(found)
+        code = coded(member.select(F.col("node").alias("h")).distinct())
         label = written(components_by_keys(member, near, test, 1 / similarity, known), "line-groups")
+        delete_table(code)
         delete_table(member)
     release(docs.sparkSession)
     # lines that occur once and are like no other stay, so only the rest is looked up among the occurrences
@@ -447,6 +458,7 @@ def without_repeated_lines(docs: DataFrame, *, similarity: float = SIMILARITY, i
     # the array of one array binds the parts, which are then cut once and not for each line
     stay = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(places)), lambda i: p[i]), "\n"))[0]
     kept = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(stay)
-    counted = own.withColumn("n_lines", F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1, F.lit(0)).cast("long"))
+    # a line feed is one byte, and bytes needn't be counted
+    counted = own.withColumn("n_lines", F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"))) + 1, F.lit(0)).cast("long"))
     counted = counted.withColumn("n_removed", F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long"))
     return counted.withColumn(text_col, kept).drop(rid, places)
